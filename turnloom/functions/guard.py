@@ -124,8 +124,8 @@ def _families_sql() -> str:
         regex = _L(_FLAGS + pattern)
         found = (f"rlike(_visible, {regex}) OR rlike(_folded, {regex}) "
                  f"OR (_spaced <> _visible AND rlike(_spaced, {regex}))")
-        for phrase in COMPACT_PHRASES.get(name, ()):
-            found += f" OR contains(_squeezed, {_L(phrase)})"
+        if name in COMPACT_PHRASES:
+            found += f" OR rlike(_squeezed, {_L('|'.join(COMPACT_PHRASES[name]))})"
         hits.append(f"CASE WHEN {found} THEN {_L(name)} END")
     return f"array_compact(array({', '.join(hits)}))"
 

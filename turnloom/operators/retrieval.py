@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import guard as G
 from turnloom.functions import text as X
-from turnloom.operators.lexical import RANK_PLACES, clamp, lexical_scores
+from turnloom.operators.lexical import (
+    COVERAGE_WEIGHT, ENTITY_BONUS, PHRASE_WEIGHT, RANK_PLACES, SIMILARITY_WEIGHT, clamp,
+    lexical_scores, phrase_overlap)
 
 # Fixed values -----------------------------------------------------------------
 INACTIVE = ["superseded", "expired", "deleted", "quarantined", "archived", "tombstoned"]
@@ -87,14 +89,17 @@ def with_policy(frame: DataFrame, policy: RetrievalPolicy | None = None) -> Data
 
 def recall(memories: DataFrame, questions: DataFrame, keys: list[str],
            limit: int = RECALL_LIMIT) -> DataFrame:
-    """The session's best memories for a question, ties in insertion order."""
-    scored = lexical_scores(
-        memories.withColumn("tokens", X.content_tokens("text")), questions, keys, "memory_id")
+    """The session's best memories for a question, ties in insertion order.
+
+    ``memories`` holds any number of rows per session and carries ``tokens``.
+    """
+    scored = lexical_scores(memories.select(*keys, "memory_id", "tokens", "first_turn", "first_sentence"),
+                            questions, keys, "memory_id")
     order = Window.partitionBy(*keys).orderBy(
         F.round("lexical", RANK_PLACES).desc(), "first_turn", "first_sentence")
-    return (
-        scored.withColumn("position", F.row_number().over(order) - 1)
-        .where(F.col("position") < limit).withColumnRenamed("lexical", "recall_score"))
+    top = scored.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < limit)
+    return memories.join(top.select(
+        *keys, "memory_id", "position", F.col("lexical").alias("recall_score")), [*keys, "memory_id"])
 
 
 def eligibility(as_of: Column | None = None) -> Column:
@@ -163,10 +168,8 @@ def informative_signals(alive: Column, keys: list[str]) -> Column:
 
 def extract_claims(rows: DataFrame, text: str = "text") -> DataFrame:
     """One row per subject-value claim, in sentence order (``claim``)."""
-    said = X.strip_discourse_markers(
-        rows.select("*", F.posexplode(X.split_sentences(text)).alias("claim", "_s")), "_s", "_c")
-    said = said.withColumn("_c", F.trim(F.regexp_replace("_c", r"^[.!?;:, ]+|[.!?;:, ]+$", ""))).where(
-        f"length(_c) BETWEEN 1 AND {MAX_CLAIM_CHARS}")
+    said = rows.select("*", F.posexplode(X.split_sentences(text)).alias("claim", "_s")).withColumn(
+        "_c", F.trim(F.regexp_replace(X.strip_discourse_markers("_s"), r"^[.!?;:, ]+|[.!?;:, ]+$", "")))
     trim = lambda c: F.regexp_replace(c, r"^[ ,;]+|[ ,;]+$", "")
     options = said
     for i, pattern in enumerate(SUBJECT_VALUE):
@@ -178,56 +181,75 @@ def extract_claims(rows: DataFrame, text: str = "text") -> DataFrame:
             f"_k{i}": F.array_compact(F.array(*[
                 F.when(F.col(f"_v{i}").rlike(p), F.lit(k)) for k, p in VALUE_KINDS.items()]))})
     valid = [
-        F.when((F.size(f"_st{i}") > 0) & (F.size(f"_vt{i}").between(1, MAX_VALUE_TOKENS))
+        F.when(F.length("_c").between(1, MAX_CLAIM_CHARS) & (F.size(f"_st{i}") > 0) & (F.size(f"_vt{i}").between(1, MAX_VALUE_TOKENS))
                & (F.size(f"_k{i}") > 0) & ~F.arrays_overlap(f"_st{i}", f"_vt{i}"),
                F.struct(F.col(f"_s{i}").alias("subject"), F.col(f"_v{i}").alias("value"),
                         F.col(f"_k{i}").alias("kinds"), F.col(f"_st{i}").alias("subject_tokens"),
                         F.array_distinct(f"_vt{i}").alias("value_tokens")))
         for i in range(len(SUBJECT_VALUE))]
-    return options.withColumn("_v", F.coalesce(*valid)).where("_v IS NOT NULL").select(
-        *rows.columns, "claim", "_v.*")
+    # Exploding drops the sentences without a claim and keeps the expressions evaluated once.
+    return options.select(*rows.columns, "claim", F.explode(F.array_compact(F.array(
+        F.coalesce(*valid)))).alias("_v")).select(*rows.columns, "claim", "_v.*")
 
 
-def claim_conflicts(claims: DataFrame, keys: list[str], rank: str) -> DataFrame:
-    """Memory pairs (ranked left before right) whose claims give one subject two values.
+def memory_features(memories: DataFrame, keys: list[str], max_chars: int = 600) -> DataFrame:
+    """Everything about a memory that no question changes, computed once per memory.
 
-    Pairs are found through a shared subject token, never by pairing everything.
+    Adds its tokens, guarded text with the guard's audit, and its claims; selection then
+    works on arrays alone.
     """
-    side = lambda tag: claims.select(
-        *keys, *[F.col(c).alias(f"{tag}_{c}") for c in claims.columns if c not in keys],
-        F.explode("subject_tokens").alias("token"))
-    pairs = side("l").join(side("r"), [*keys, "token"]).where(F.col(f"l_{rank}") < F.col(f"r_{rank}"))
-    fits = (
-        F.arrays_overlap("l_kinds", "r_kinds")
-        & (X.jaccard(F.col("l_subject_tokens"), F.col("r_subject_tokens")) >= SAME_SUBJECT)
-        & ~F.arrays_overlap("l_value_tokens", "r_value_tokens")
-        & (X.jaccard(F.col("l_value_tokens"), F.col("r_value_tokens")) < SAME_VALUE))
-    return pairs.where(fits).groupBy(*keys, f"l_{rank}", f"r_{rank}").agg(
-        F.min_by("l_subject", F.struct("l_claim", "r_claim")).alias("subject"))
+    rows = G.neutralize(memories.withColumn("tokens", X.content_tokens("text")), "text", max_chars)
+    rows = rows.select(
+        *memories.columns, "tokens", F.col("_g.text").alias("guarded"), "_g.suspicious", "_g.families",
+        "_g.neutralized")
+    rows = rows.withColumn("norm", X.normalize_text("guarded"))
+    rows = rows.withColumn("guarded_tokens", X.content_tokens("guarded")).withColumn(
+        "replaces", F.expr(X.any_phrase_sql("norm", X.CORRECTION_MARKERS)) | (F.col("memory_type") == "CORRECTION"))
+    claims = extract_claims(rows.select(*keys, "memory_id", "guarded"), "guarded").groupBy(
+        *keys, "memory_id").agg(F.sort_array(F.collect_list(F.struct(
+            "claim", "subject", "kinds", "subject_tokens", "value_tokens"))).alias("claims"))
+    return rows.join(claims, [*keys, "memory_id"], "left").withColumn(
+        "claims", F.coalesce("claims", F.expr(f"cast(array() AS {_CLAIMS})")))
 
 
-def _order(left: str, right: str) -> Column:
-    """-1 when left is older, 1 when right is, NULL when nothing tells."""
-    def by(field):
-        a, b = F.col(f"{left}.{field}"), F.col(f"{right}.{field}")
-        return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1))
+_CLAIMS = ("array<struct<claim:int,subject:string,kinds:array<string>,subject_tokens:array<string>,"
+           "value_tokens:array<string>>>")
 
-    return F.coalesce(by("seen"), by("turn"))
+
+def _jaccard_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN size(array_union({a}, {b})) = 0 THEN 1D ELSE "
+            f"size(array_intersect({a}, {b})) / size(array_union({a}, {b})) END")
+
+
+def group_lexical(rows: DataFrame, keys: list[str], alive: str) -> DataFrame:
+    """Lexical score against the group's surviving candidates, for small groups.
+
+    Same measure as ``lexical_scores``; the few token sets of a group travel in a window
+    array, so no join is needed.
+    """
+    peers = F.collect_list(F.when(F.expr(alive), F.array_distinct("tokens"))).over(Window.partitionBy(*keys))
+    idf = "ln(1D + size(_sets) / (1D + size(filter(_sets, s -> array_contains(s, t)))))"
+    total = lambda terms: f"aggregate({terms}, 0D, (acc, t) -> acc + {idf})"
+    rows = rows.withColumn("_sets", peers).withColumn("_named", X.token_set("array_join(entities, ' ')"))
+    rows = rows.withColumns({
+        "_shared": F.expr(total("array_intersect(q_tokens, tokens)")), "_wanted": F.expr(total("array_distinct(q_tokens)")),
+        "_union": F.expr(total("array_union(q_tokens, tokens)")),
+        "_entity": F.expr(total("array_intersect(_named, q_tokens)") + " / nullif(" + total("_named") + ", 0D)")})
+    score = (COVERAGE_WEIGHT * F.col("_shared") / F.col("_wanted")
+             + SIMILARITY_WEIGHT * F.col("_shared") / F.col("_union")
+             + PHRASE_WEIGHT * phrase_overlap("q_tokens", "tokens")
+             + ENTITY_BONUS * F.coalesce(F.least(F.lit(1.0), "_entity"), F.lit(0.0)))
+    empty = F.expr("size(q_tokens) = 0 OR size(tokens) = 0")
+    return rows.withColumn("lexical", F.when(F.expr(alive), F.when(empty, F.lit(0.0)).otherwise(clamp(score)))).drop(
+        "_sets", "_named", "_shared", "_wanted", "_union", "_entity")
 
 
 def score_candidates(candidates: DataFrame, keys: list[str], policy: RetrievalPolicy,
                      as_of: Column) -> DataFrame:
     """Eligibility, score parts and rank of every candidate."""
     rows = candidates.withColumn("drop_reason", eligibility(as_of))
-    alive = F.col("drop_reason").isNull()
-    rows = rows.withColumn("informative", informative_signals(alive, keys))
-    usable = rows.where(alive).withColumn("tokens", X.content_tokens("text"))
-    scored = lexical_scores(
-        usable.select(*keys, "memory_id", "tokens", "entities"),
-        usable.groupBy(*keys).agg(F.first("question").alias("_q")).select(
-            *keys, X.content_tokens("_q").alias("q_tokens")),
-        keys, "memory_id", "entities").select(*keys, "memory_id", "lexical")
-    rows = rows.join(scored, [*keys, "memory_id"], "left")
+    rows = rows.withColumn("informative", informative_signals(F.col("drop_reason").isNull(), keys))
+    rows = group_lexical(rows, keys, "drop_reason IS NULL")
     has = F.coalesce(F.size("signals"), F.lit(0)) > 0
     weights = [F.lit(policy.weight_runtime_signals), F.lit(policy.weight_lexical)]
     rows = rows.withColumns({
@@ -238,134 +260,144 @@ def score_candidates(candidates: DataFrame, keys: list[str], policy: RetrievalPo
         "relevance": weighted_mean([(F.col("query_runtime"), weights[0]), (F.col("lexical"), weights[1])]),
         "score": weighted_mean([(F.col("runtime"), weights[0]), (F.col("lexical"), weights[1]),
                                 (F.col("recency"), F.col("p_weight_recency"))])})
-    rows = G.neutralize(rows, "text", policy.max_memory_chars).select(
-        "*", F.col("_g.text").alias("guarded"), F.coalesce("_g.suspicious", F.lit(False)).alias("suspicious"),
-        F.col("_g.families").alias("families"), F.col("_g.neutralized").alias("neutralized")).drop("_g")
     order = Window.partitionBy(*keys).orderBy(
         F.col("drop_reason").isNotNull(), F.round("score", RANK_PLACES).desc(), "position", "memory_id")
-    return rows.withColumn("rn", F.row_number().over(order))
+    return rows.withColumn("rn", F.row_number().over(order)).withColumn(
+        "detail", F.lit(None).cast("string"))
+
+
+def _peers(rows: DataFrame, keys: list[str], fields: list[str], condition: str = "drop_reason IS NULL") -> DataFrame:
+    """Add the group's surviving rows in rank order as ``_peers``."""
+    row = F.when(F.expr(condition), F.struct("rn", *fields))
+    return rows.withColumn("_peers", F.sort_array(F.collect_list(row).over(Window.partitionBy(*keys))))
 
 
 def merge_repeats(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Greedy repeats in rank order: same token list, or near enough to a kept one."""
-    small = F.struct("rn", "memory_id", X.content_tokens("guarded").alias("tokens"))
-    folded = rows.where("drop_reason IS NULL").groupBy(*keys).agg(
-        F.sort_array(F.collect_list(small)).alias("_list"))
-    empty = F.array().cast(
-        "array<struct<rn:int,memory_id:string,tokens:array<string>,of:string,kind:string>>")
-
-    def step(acc, x):
-        alike = lambda k: (k["tokens"] == x["tokens"]) | (
-            X.jaccard(k["tokens"], x["tokens"]) >= threshold)
-        match = F.get(F.filter(acc, lambda k: k["of"].isNull() & alike(k)), F.lit(0))
-        return F.concat(acc, F.array(F.struct(
-            x["rn"].alias("rn"), x["memory_id"].alias("memory_id"), x["tokens"].alias("tokens"),
-            match["memory_id"].alias("of"),
-            F.when(match["tokens"] == x["tokens"], "exact duplicate")
-            .when(match.isNotNull(), "near duplicate").alias("kind"))))
-
-    folded = folded.select(*keys, F.explode(F.aggregate("_list", empty, step)).alias("m")).select(
-        *keys, F.col("m.memory_id").alias("memory_id"), F.col("m.of").alias("merged_into"),
-        F.col("m.kind").alias("_kind"))
-    out = rows.join(folded, [*keys, "memory_id"], "left")
-    merged = F.collect_list(F.when(F.col("merged_into").isNotNull(), F.struct(
-        "rn", "memory_id", "merged_into"))).over(Window.partitionBy(*keys))
-    return out.withColumn("_merged", merged).select(
-        *[c for c in rows.columns if c != "drop_reason"],
-        F.when(F.col("merged_into").isNotNull(), "duplicate").otherwise(F.col("drop_reason")).alias("drop_reason"),
-        F.when(F.col("merged_into").isNotNull(), F.concat_ws(" of ", "_kind", "merged_into")).alias("detail"),
-        F.transform(F.array_sort(F.filter("_merged", lambda m: m["merged_into"] == F.col("memory_id"))),
-                    lambda m: m["memory_id"]).alias("merged_ids"))
-
-
-def _mark(rows: DataFrame, drops: DataFrame, keys: list[str]) -> DataFrame:
-    """Apply (keys, memory_id, reason, why) to rows that have no reason yet."""
-    joined = rows.join(drops, [*keys, "memory_id"], "left")
-    fresh = F.col("drop_reason").isNull() & F.col("reason").isNotNull()
-    return joined.select(
-        *[c for c in rows.columns if c not in ("drop_reason", "detail")],
-        F.when(fresh, F.col("reason")).otherwise(F.col("drop_reason")).alias("drop_reason"),
-        F.when(fresh, F.col("why")).otherwise(F.col("detail")).alias("detail"))
+    rows = _peers(rows, keys, ["memory_id", "guarded_tokens"])
+    alike = f"k.tokens = x.guarded_tokens OR {_jaccard_sql('k.tokens', 'x.guarded_tokens')} >= {threshold}D"
+    walk = (
+        "aggregate(_peers, cast(array() AS array<struct<id:string,tokens:array<string>,"
+        "m:struct<id:string,exact:boolean>>>), (acc, x) -> concat(acc, array(named_struct("
+        "'id', x.memory_id, 'tokens', x.guarded_tokens, 'm', get(transform("
+        f"filter(acc, k -> k.m IS NULL AND ({alike})), "
+        "k -> named_struct('id', k.id, 'exact', k.tokens = x.guarded_tokens)), 0)))))")
+    rows = rows.withColumn("_walk", F.expr(walk)).withColumn(
+        "_m", F.expr("CASE WHEN drop_reason IS NULL THEN get(filter(_walk, w -> w.id = memory_id), 0).m END"))
+    return rows.withColumns({
+        "merged_ids": F.expr("transform(filter(_walk, w -> w.m.id = memory_id), w -> w.id)"),
+        "detail": F.expr("CASE WHEN _m IS NOT NULL THEN concat(CASE WHEN _m.exact THEN 'exact' ELSE 'near' END, "
+                         "' duplicate of ', _m.id) ELSE detail END"),
+        "drop_reason": F.expr("CASE WHEN _m IS NOT NULL THEN 'duplicate' ELSE drop_reason END"),
+    }).drop("_peers", "_walk", "_m")
 
 
-def apply_reported_conflicts(rows: DataFrame, conflicts: DataFrame, keys: list[str]
-                             ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reported pairs by id, else by text; returns rows, covered pairs, contested ids.
+def attach_reports(candidates: DataFrame, keys: list[str], conflicts: DataFrame | None,
+                   stale: DataFrame | None) -> DataFrame:
+    """Join outside reports to the candidates they may name, before anything is ranked.
 
-    ``conflicts`` has (keys, seq, subject, older_id, newer_id, older_text, newer_text);
-    a later report about the same older memory wins.
+    ``conflicts`` has (keys, seq, subject, older_id, newer_id, older_text, newer_text) and
+    is matched by id and by normalised text; ``stale`` has (keys, memory_id).
+    """
+    kind = "array<struct<seq:int,subject:string,older_id:string,newer_id:string,newer_norm:string>>"
+    rows = candidates
+    if conflicts is None:
+        rows = rows.selectExpr("*", f"cast(array() AS {kind}) AS _by_id", f"cast(array() AS {kind}) AS _by_text")
+    else:
+        found = conflicts.withColumn("newer_norm", X.normalize_text("newer_text")).withColumn(
+            "older_norm", X.normalize_text("older_text"))
+        report = F.sort_array(F.collect_list(F.struct("seq", "subject", "older_id", "newer_id", "newer_norm"))).cast(kind)
+        by_id = found.where("length(older_id) > 0").groupBy(*keys, F.col("older_id").alias("memory_id")).agg(
+            report.alias("_by_id"))
+        by_text = found.where("length(older_norm) > 0").groupBy(*keys, F.col("older_norm").alias("norm")).agg(
+            report.alias("_by_text"))
+        rows = rows.join(by_id, [*keys, "memory_id"], "left").join(by_text, [*keys, "norm"], "left")
+        rows = rows.withColumns({c: F.expr(f"coalesce({c}, cast(array() AS {kind}))") for c in ("_by_id", "_by_text")})
+    if stale is None:
+        return rows.withColumn("_stale", F.lit(False))
+    named = stale.select(*keys, "memory_id").distinct().withColumn("_stale", F.lit(True))
+    return rows.join(named, [*keys, "memory_id"], "left").withColumn("_stale", F.coalesce("_stale", F.lit(False)))
+
+
+def apply_reports(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Reported contradictions, then reported staleness; the last report on a memory wins."""
+    rows = _peers(rows, keys, ["memory_id", "norm"])
+    first_of_text = "get(filter(_peers, p -> p.norm = norm), 0).memory_id = memory_id"
+    mine = (f"concat(_by_id, CASE WHEN {first_of_text} THEN filter(_by_text, r -> NOT exists(_peers, "
+            "p -> p.memory_id = r.older_id)) ELSE filter(_by_text, r -> false) END)")
+    newer = ("coalesce(get(filter(_peers, p -> p.memory_id = r.newer_id), 0).memory_id, "
+             "get(filter(_peers, p -> length(r.newer_norm) > 0 AND p.norm = r.newer_norm), 0).memory_id)")
+    rows = rows.withColumn("_reports", F.expr(
+        "CASE WHEN drop_reason IS NULL AND p_resolve_conflicts THEN array_sort(transform("
+        f"{mine}, r -> named_struct('seq', r.seq, 'newer', {newer}, 'subject', r.subject))) END"))
+    rows = rows.withColumn("_last", F.expr(
+        "get(reverse(filter(_reports, r -> r.newer IS NOT NULL)), 0)"))
+    stale = "drop_reason IS NULL AND _last IS NULL AND _stale AND p_drop_stale_memories"
+    return rows.withColumns({
+        "reported_contested": F.expr("coalesce(exists(_reports, r -> r.newer IS NULL), false)"),
+        "reported_newer": F.expr("transform(filter(_reports, r -> r.newer IS NOT NULL), r -> r.newer)"),
+        "detail": F.expr(
+            "CASE WHEN _last IS NOT NULL THEN concat('superseded by ', _last.newer, ' (subject=', "
+            "coalesce(nullif(_last.subject, ''), 'unknown'), ', source=runtime)') "
+            f"WHEN {stale} THEN 'reported stale by runtime (subject=unknown, source=runtime)' ELSE detail END"),
+        "drop_reason": F.expr(
+            f"CASE WHEN _last IS NOT NULL THEN 'superseded' WHEN {stale} THEN 'stale' ELSE drop_reason END"),
+    }).drop("_peers", "_reports", "_last", "_by_id", "_by_text", "_stale")
+
+
+def _first_claim_sql() -> str:
+    """Subject of the first claim of ``l`` that some claim of ``r`` contradicts."""
+    fits = (f"arrays_overlap(a.kinds, b.kinds) AND arrays_overlap(a.subject_tokens, b.subject_tokens) AND "
+            f"{_jaccard_sql('a.subject_tokens', 'b.subject_tokens')} >= {SAME_SUBJECT}D AND "
+            f"NOT arrays_overlap(a.value_tokens, b.value_tokens) AND "
+            f"{_jaccard_sql('a.value_tokens', 'b.value_tokens')} < {SAME_VALUE}D")
+    return f"get(filter(%s, a -> exists(%s, b -> {fits})), 0).subject"
+
+
+def apply_claim_conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Resolve or flag claim conflicts among a group's survivors (column ``pairs``).
+
+    A pair drops its older memory only when the newer one says it replaces something;
+    otherwise both stay and are contested. Position never counts as age.
     """
-    alive = rows.where("drop_reason IS NULL AND p_resolve_conflicts").select(
-        *keys, "memory_id", "rn", X.normalize_text("guarded").alias("_norm"))
-    by_text = alive.where("length(_norm) > 0").groupBy(*keys, "_norm").agg(
-        F.min_by("memory_id", "rn").alias("_by_text"))
-    found = conflicts
-    for side in ("older", "newer"):
-        ids = alive.select(*keys, F.col("memory_id").alias(f"{side}_id"), F.lit(True).alias("_hit"))
-        texts = by_text.select(*keys, F.col("_norm").alias(f"_{side}_norm"), "_by_text")
-        found = (
-            found.withColumn(f"_{side}_norm", X.normalize_text(f"{side}_text"))
-            .join(ids, [*keys, f"{side}_id"], "left")
-            .join(texts, [*keys, f"_{side}_norm"], "left")
-            .withColumn(side, F.when(F.col("_hit"), F.col(f"{side}_id")).otherwise(F.col("_by_text")))
-            .drop("_hit", "_by_text", f"_{side}_norm"))
-    found = found.where("older IS NOT NULL")
-    contested = found.where("newer IS NULL").select(*keys, F.col("older").alias("memory_id")).distinct()
-    pairs = found.where("newer IS NOT NULL")
-    drops = pairs.groupBy(*keys, F.col("older").alias("memory_id")).agg(
-        F.max_by(F.struct("newer", "subject"), "seq").alias("_c")).select(
-        *keys, "memory_id", F.lit("superseded").alias("reason"),
-        F.concat(F.lit("superseded by "), F.col("_c.newer"), F.lit(" (subject="),
-                 F.coalesce(F.nullif("_c.subject", F.lit("")), F.lit("unknown")),
-                 F.lit(", source=runtime)")).alias("why"))
-    return _mark(rows, drops, keys), pairs.select(*keys, "older", "newer"), contested
-
-
-def apply_reported_stale(rows: DataFrame, stale: DataFrame, keys: list[str]) -> DataFrame:
-    allowed = rows.where("p_drop_stale_memories").select(*keys).distinct()
-    drops = stale.join(allowed, keys, "left_semi").select(*keys, "memory_id").distinct().select(
-        *keys, "memory_id", F.lit("stale").alias("reason"),
-        F.lit("reported stale by runtime (subject=unknown, source=runtime)").alias("why"))
-    return _mark(rows, drops, keys)
-
-
-def apply_claim_conflicts(rows: DataFrame, keys: list[str], covered: DataFrame | None = None
-                          ) -> tuple[DataFrame, DataFrame]:
-    """Resolve or flag claim conflicts among survivors; returns rows and resolutions."""
-    alive = rows.where(
-        "drop_reason IS NULL AND p_resolve_conflicts AND p_heuristic_conflict_detection")
-    claims = extract_claims(alive.select(*keys, "rn", "guarded"), "guarded").drop("guarded")
-    pairs = claim_conflicts(claims, keys, "rn")
-    replaces = X.has_correction_marker("guarded") | (F.col("memory_type") == "CORRECTION")
-    info = alive.select(*keys, "rn", F.struct(
-        "memory_id", F.coalesce("observed_at", "created_at").alias("seen"),
-        F.col("source_turn").alias("turn"), replaces.alias("replaces")).alias("m"))
-    pairs = (
-        pairs.join(info.select(*keys, F.col("rn").alias("l_rn"), F.col("m").alias("left")), [*keys, "l_rn"])
-        .join(info.select(*keys, F.col("rn").alias("r_rn"), F.col("m").alias("right")), [*keys, "r_rn"]))
-    if covered is not None:
-        both = covered.select(*keys, F.array_sort(F.array("older", "newer")).alias("_pair"))
-        pairs = pairs.withColumn(
-            "_pair", F.array_sort(F.array("left.memory_id", "right.memory_id"))
-        ).join(both, [*keys, "_pair"], "left_anti").drop("_pair")
-    pairs = pairs.withColumn("_order", _order("left", "right")).select(
-        *keys, "l_rn", "r_rn", "subject", "_order", F.col("left.memory_id").alias("left_id"),
-        F.col("right.memory_id").alias("right_id"),
-        F.when(F.col("_order") == -1, F.col("left.memory_id")).when(
-            F.col("_order") == 1, F.col("right.memory_id")).alias("older_id"),
-        F.when(F.col("_order") == -1, F.col("right")).when(F.col("_order") == 1, F.col("left")).alias("_newer"))
-    resolutions = pairs.select(
-        *keys, "l_rn", "r_rn", "subject", "left_id", "right_id", "older_id",
-        F.col("_newer.memory_id").alias("newer_id"),
-        F.when(F.col("_order").isNull(), "unordered").when(F.col("_newer.replaces"), "superseded")
-        .otherwise("contested").alias("outcome"))
-    drops = resolutions.where("outcome = 'superseded'").groupBy(
-        *keys, F.col("older_id").alias("memory_id")).agg(
-        F.max_by(F.struct("newer_id", "subject"), F.struct("l_rn", "r_rn")).alias("_c")).select(
-        *keys, "memory_id", F.lit("superseded").alias("reason"),
-        F.concat(F.lit("superseded by "), F.col("_c.newer_id"), F.lit(" (subject="),
-                 F.col("_c.subject"), F.lit(", source=heuristic)")).alias("why"))
-    return _mark(rows, drops, keys), resolutions
+    on = "p_resolve_conflicts AND p_heuristic_conflict_detection"
+    rows = rows.withColumn("seen", F.coalesce("observed_at", "created_at"))
+    rows = _peers(rows, keys, ["memory_id", "claims", "seen", "source_turn", "replaces", "reported_newer"],
+                  f"drop_reason IS NULL AND {on}")
+    subject = _first_claim_sql()
+    found = (f"CASE WHEN rn < p.rn THEN {subject % ('claims', 'p.claims')} "
+             f"ELSE {subject % ('p.claims', 'claims')} END")
+    older = ("CASE WHEN seen < p.seen THEN memory_id WHEN p.seen < seen THEN p.memory_id "
+             "WHEN source_turn < p.source_turn THEN memory_id WHEN p.source_turn < source_turn THEN p.memory_id END")
+    pair = ("named_struct('l_rn', least(rn, p.rn), 'r_rn', greatest(rn, p.rn), 'peer', p.memory_id, 'peer_rn', p.rn, "
+            f"'subject', {found}, 'older', {older}, 'peer_replaces', p.replaces)")
+    rows = rows.withColumn("_pairs", F.expr(
+        f"CASE WHEN drop_reason IS NULL AND {on} THEN filter(transform(filter(_peers, p -> p.rn <> rn "
+        "AND NOT array_contains(p.reported_newer, memory_id) AND NOT array_contains(reported_newer, p.memory_id)), "
+        f"p -> {pair}), q -> q.subject IS NOT NULL) END"))
+    rows = rows.withColumn("pairs", F.expr(
+        "array_sort(transform(_pairs, q -> named_struct('l_rn', q.l_rn, 'r_rn', q.r_rn, 'peer', q.peer, "
+        "'peer_rn', q.peer_rn, 'subject', q.subject, 'older', q.older, 'outcome', "
+        "CASE WHEN q.older IS NULL THEN 'unordered' "
+        "WHEN CASE WHEN q.older = memory_id THEN q.peer_replaces ELSE replaces END THEN 'superseded' "
+        "ELSE 'contested' END)))"))
+    rows = rows.withColumn("_loss", F.expr(
+        "get(reverse(filter(pairs, q -> q.outcome = 'superseded' AND q.older = memory_id)), 0)"))
+    return rows.withColumns({
+        "contested": F.expr("reported_contested OR coalesce(exists(pairs, q -> q.outcome <> 'superseded'), false)"),
+        "detail": F.expr("CASE WHEN _loss IS NOT NULL THEN concat('superseded by ', _loss.peer, ' (subject=', "
+                         "_loss.subject, ', source=heuristic)') ELSE detail END"),
+        "drop_reason": F.expr("CASE WHEN _loss IS NOT NULL THEN 'superseded' ELSE drop_reason END"),
+    }).drop("_peers", "_pairs", "_loss", "seen")
+
+
+def conflict_resolutions(decided: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per conflicting pair found by claims, ranked left before right."""
+    return decided.select(*keys, "memory_id", "rn", F.explode("pairs").alias("q")).where("q.peer_rn > rn").select(
+        *keys, "q.subject", F.col("memory_id").alias("left_id"), F.col("q.peer").alias("right_id"),
+        F.col("q.older").alias("older_id"),
+        F.expr("CASE WHEN q.older = memory_id THEN q.peer WHEN q.older IS NOT NULL THEN memory_id END").alias("newer_id"),
+        F.col("q.outcome").alias("outcome"))
 
 
 def apply_floors_and_cap(rows: DataFrame, keys: list[str], policy: RetrievalPolicy) -> DataFrame:
@@ -373,44 +405,36 @@ def apply_floors_and_cap(rows: DataFrame, keys: list[str], policy: RetrievalPoli
     group = Window.partitionBy(*keys)
     alive = F.col("drop_reason").isNull()
     # A floor compares the same noise-free number that ranks do.
-    relevance = F.round("relevance", RANK_PLACES)
-    best = F.max(F.when(alive, relevance)).over(group)
-    floored = rows.withColumn("_best", best).withColumn(
-        "drop_reason",
+    rows = rows.withColumn("_rel", F.round("relevance", RANK_PLACES)).withColumn(
+        "_best", F.max(F.when(alive, F.round("relevance", RANK_PLACES))).over(group))
+    rows = rows.withColumn("drop_reason", (
         F.when(~alive, F.col("drop_reason"))
-        .when(relevance < F.col("p_relevance_floor"), "low_relevance")
-        .when(relevance < F.round(F.col("_best") * F.col("p_relative_relevance_ratio"), RANK_PLACES),
+        .when(F.col("_rel") < F.col("p_relevance_floor"), "low_relevance")
+        .when(F.col("_rel") < F.round(F.col("_best") * F.col("p_relative_relevance_ratio"), RANK_PLACES),
               "weak_relevance")
-        .when(F.lit(policy.drop_suspicious_memories) & F.col("suspicious"), "suspicious")).drop("_best")
+        .when(F.lit(policy.drop_suspicious_memories) & F.col("suspicious"), "suspicious"))).drop("_rel", "_best")
     place = F.sum(F.col("drop_reason").isNull().cast("int")).over(group.orderBy("rn"))
-    over = alive & (F.col("p_max_memories") > 0) & (F.col("rank") > F.col("p_max_memories"))
-    return floored.withColumn("rank", place).withColumn(
-        "drop_reason", F.when(over, "cap").otherwise(F.col("drop_reason"))).withColumn(
-        "rank", F.when(F.col("drop_reason").isNull(), F.col("rank")))
+    return rows.withColumn("rank", place).withColumn("drop_reason", F.expr(
+        "CASE WHEN drop_reason IS NULL AND p_max_memories > 0 AND rank > p_max_memories THEN 'cap' "
+        "ELSE drop_reason END")).withColumn("rank", F.expr("CASE WHEN drop_reason IS NULL THEN rank END"))
 
 
 def select_memories(candidates: DataFrame, keys: list[str], policy: RetrievalPolicy | None = None,
                     as_of: Column | None = None, conflicts: DataFrame | None = None,
-                    stale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The whole chain; returns one decided row per candidate, and conflict resolutions."""
+                    stale: DataFrame | None = None) -> DataFrame:
+    """The whole chain: one decided row per candidate.
+
+    ``candidates`` carries (keys, q_tokens, current_turn, position, the record columns, the
+    columns of ``memory_features`` and the policy columns ``p_*``); groups are as small as
+    recall leaves them. Every step is a window on the keys, so rows shuffle once.
+    """
     policy = policy or RetrievalPolicy()
     as_of = as_of if as_of is not None else F.current_timestamp()
-    rows = score_candidates(candidates, keys, policy, as_of)
+    rows = attach_reports(candidates, keys, conflicts, stale)
+    rows = score_candidates(rows, keys, policy, as_of)
     rows = merge_repeats(rows, keys, policy.near_duplicate_threshold)
-    covered = reported = None
-    if conflicts is not None:
-        rows, covered, reported = apply_reported_conflicts(rows, conflicts, keys)
-    if stale is not None:
-        rows = apply_reported_stale(rows, stale, keys)
-    rows, resolutions = apply_claim_conflicts(rows, keys, covered)
-    open_pairs = resolutions.where("outcome <> 'superseded'")
-    contested = open_pairs.select(*keys, F.explode(F.array("left_id", "right_id")).alias("memory_id"))
-    if reported is not None:
-        contested = contested.unionByName(reported)
-    rows = rows.join(contested.distinct().withColumn("contested", F.lit(True)),
-                     [*keys, "memory_id"], "left").withColumn(
-        "contested", F.coalesce("contested", F.lit(False)))
-    return apply_floors_and_cap(rows, keys, policy), resolutions
+    rows = apply_claim_conflicts(apply_reports(rows, keys), keys)
+    return apply_floors_and_cap(rows, keys, policy)
 
 
 def retrieval_report(decided: DataFrame, keys: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ class Workspace:
 
     @cached_property
     def memories(self) -> DataFrame:
-        return self.keep(extraction.observe(self.transcript, Q), "memories")
+        return self.keep(R.memory_features(extraction.observe(self.transcript, Q), Q), "memories")
 
     @cached_property
     def recalled(self) -> DataFrame:
@@ -81,10 +81,9 @@ class Workspace:
             F.lit("redundancy"), tenth(26) / 5)
         stamp = lambda text: F.to_timestamp(F.lit(text))
         turns = self.transcript.groupBy("conv_id").agg((F.count("*") + 1).alias("current_turn"))
-        rows = found.join(turns, "conv_id").join(self.tasks.select("conv_id", "question"), "conv_id")
+        rows = found.join(turns, "conv_id").join(self.questions, "conv_id")
         return self.keep(rows.select(
-            "conv_id", "question", "current_turn", "memory_id", "text", "memory_type", "position",
-            "source_turn", "recall_score",
+            *self.memories.columns, "q_tokens", "current_turn", "position", "recall_score",
             F.when(lot == 0, "archived").otherwise("active").alias("status"),
             F.when(lot == 1, stamp("2024-01-01 00:00:00")).when(lot == 2, stamp("2025-01-01 00:00:00"))
             .alias("valid_until"),
@@ -114,26 +113,21 @@ class Workspace:
             "conv_id", X.stable_id(first["text"]).alias("memory_id"))
 
     @cached_property
-    def _selection(self) -> tuple[DataFrame, DataFrame]:
+    def decided(self) -> DataFrame:
+        """One row per (task, mode, candidate memory) with its fate."""
         modes = [m for m in M.MODES if m.uses_memory]
         fields = ["mode", *R.MODE_KNOBS, "strip_temporal", "strip_lifecycle"]
         rows = M.fan_out(self.recalled, modes, fields)
-        rows = rows.withColumnsRenamed({k: "p_" + k for k in R.MODE_KNOBS})
-        rows = R.strip_for_ablation(rows)
-        names = self.spark.createDataFrame([(m.mode,) for m in modes], "mode string")
-        conflicts = self.reported_conflicts.join(F.broadcast(names))
-        stale = self.reported_stale.join(F.broadcast(names))
-        return R.select_memories(rows, QM, as_of=F.to_timestamp(F.lit(AS_OF)),
-                                 conflicts=conflicts, stale=stale)
-
-    @cached_property
-    def decided(self) -> DataFrame:
-        """One row per (task, mode, candidate memory) with its fate."""
-        return self.keep(self._selection[0], "decided")
+        rows = R.strip_for_ablation(rows.withColumnsRenamed({k: "p_" + k for k in R.MODE_KNOBS}))
+        names = F.array(*[F.lit(m.mode) for m in modes])
+        conflicts = self.reported_conflicts.withColumn("mode", F.explode(names))
+        stale = self.reported_stale.withColumn("mode", F.explode(names))
+        return self.keep(R.select_memories(
+            rows, QM, as_of=F.to_timestamp(F.lit(AS_OF)), conflicts=conflicts, stale=stale), "decided")
 
     @cached_property
     def resolutions(self) -> DataFrame:
-        return self._selection[1]
+        return R.conflict_resolutions(self.decided, QM)
 
     @cached_property
     def contexts(self) -> packing.Contexts:
