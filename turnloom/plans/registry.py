@@ -14,7 +14,7 @@ def query(function):
     return function
 
 
-from turnloom.plans import evaluation_sets, retrieval  # noqa: E402,F401
+from turnloom.plans import evaluation_sets, retrieval, scoring  # noqa: E402,F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
