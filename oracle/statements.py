@@ -4,4 +4,4 @@ from __future__ import annotations
 
 STATEMENTS: dict[str, str] = {}
 
-from oracle import evaluation_sets  # noqa: E402,F401
+from oracle import evaluation_sets, scoring  # noqa: E402,F401

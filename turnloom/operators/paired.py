@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import modes as M
 from turnloom.operators.rollups import t_critical
 
+# Batch functions of this module travel by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAIR_METRICS = {
     "accuracy": "CASE WHEN verdict = 'correct' THEN 1D WHEN verdict <> 'ungraded' THEN 0D END",
     "faithfulness": "faithfulness",

@@ -171,13 +171,14 @@ def score_benchmark_markers(spark, sf):
     first = "element_at(split(text, '[.] *'), 1)"
     marks = space.table("benchmark").select("item_id", X.normalize_answer(first).alias("mark")).where("length(mark) > 40")
     docs = space.table("documents").select("doc_id", X.normalize_answer("text").alias("body"))
-    words = F.expr("transform(sequence(1, greatest(size(split(body, ' ')) - 4, 1)), i -> "
-                   "concat_ws(' ', slice(split(body, ' '), i, 5)))")
     # Five-word openings are the equi-join key; the full phrase is verified after it.
-    opening = docs.select("doc_id", "body", F.explode(F.array_distinct(words)).alias("opening"))
+    split = docs.withColumn("words", F.split("body", " "))
+    opening = split.select("doc_id", F.explode(F.expr(
+        "array_distinct(transform(sequence(1, greatest(size(words) - 4, 1)), "
+        "i -> concat_ws(' ', slice(words, i, 5))))")).alias("opening"))
     keyed = marks.withColumn("opening", F.expr("concat_ws(' ', slice(split(mark, ' '), 1, 5))"))
-    hits = opening.join(keyed, "opening").where(X.contains_normalized_sql("body", "mark"))
-    return hits.select("item_id", "doc_id").distinct()
+    hits = opening.join(keyed, "opening").select("item_id", "mark", "doc_id").distinct()
+    return hits.join(docs, "doc_id").where(X.contains_normalized_sql("body", "mark")).select("item_id", "doc_id")
 
 
 SETS = [[], ["mode", "trial"], ["mode", "trial", "category"], ["mode", "trial", "length_tier"], ["category"], ["mode"]]
@@ -341,9 +342,9 @@ def failure_drop_labels(spark, sf):
 @query
 def failure_totals(spark, sf):
     space = workspace(spark, sf)
-    everything = scores(space).agg(F.count("*").alias("scored"), F.count_if("verdict <> 'ungraded'").alias("graded"))
+    everything = scores(space).agg(F.count("*").alias("scored"), F.expr("count_if(verdict <> 'ungraded')").alias("graded"))
     found = failed(space).agg(F.count("*").alias("records"), F.count_if("observed_failure").alias("observed"),
-                              F.count_if("NOT observed_failure").alias("latent"))
+                              F.expr("count_if(NOT observed_failure)").alias("latent"))
     pairs = lambda frame: frame.selectExpr(
         f"stack({len(frame.columns)}, " + ", ".join(f"'{c}', {c}" for c in frame.columns) + ") AS (measure, n)")
     return pairs(everything).unionByName(pairs(found))
