@@ -159,7 +159,7 @@ _QPT = f"round_even(coalesce({_RAW_ACC}, 0) / nullif(round_even(avg(final_tokens
 _SLICE = "concat_ws('+', " + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in sorted(_COLS)) + ")"
 _SETS = ", ".join("(" + ", ".join(g) + ")" for g in SETS)
 STATEMENTS["aggregate_slices"] = compose(["scores"], f"""
-SELECT {_SLICE} AS slice, mode, trial::BIGINT AS trial, category, length_tier::BIGINT AS length_tier, {_ALL}, {_QPT} AS quality_per_token
+SELECT {_SLICE} AS slice, mode, coalesce(trial, -1)::BIGINT AS trial, category, coalesce(length_tier, -1)::BIGINT AS length_tier, {_ALL}, {_QPT} AS quality_per_token
 FROM scores GROUP BY GROUPING SETS ({_SETS})""")
 block("points", ["scores"], f"SELECT mode, trial, length_tier, coalesce({_RAW_ACC}, 0) AS acc, {_ALL} FROM scores GROUP BY mode, trial, length_tier")
 block("curves", ["points"], """
@@ -201,7 +201,7 @@ def long_rows(keys: str, metrics: list[str]) -> str:
 
 
 block("long", ["scores"], long_rows("mode", R.HEADLINE))
-STATEMENTS["aggregate_trial_summaries"] = compose(["long"], summary("mode, metric"))
+STATEMENTS["aggregate_trial_summaries"] = compose(["long"], "SELECT * REPLACE (round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high) FROM (" + summary("mode, metric") + ")")
 STATEMENTS["aggregate_length_summaries"] = compose(["scores"], "SELECT * REPLACE (length_tier::BIGINT AS length_tier) FROM (" + summary(
     "mode, length_tier, metric").replace("FROM long", "FROM (" + long_rows(
         "mode, length_tier", ["answer_accuracy", "mean_final_context_tokens"]) + ")") + ")")
@@ -306,7 +306,7 @@ SELECT conv_id, mode, trial::BIGINT AS trial, failure_type, stage, array_to_stri
   FROM facts f WHERE f.conv_id = x.conv_id AND f.role = 'required'), '') AS expected_memory FROM failed x""")
 STATEMENTS["failure_slices"] = compose(["failed"], """
 SELECT concat_ws('+', CASE WHEN grouping(category) = 0 THEN 'category' END, CASE WHEN grouping(length_tier) = 0 THEN 'length_tier' END,
-  CASE WHEN grouping(mode) = 0 THEN 'mode' END) AS slice, mode, category, length_tier::BIGINT AS length_tier, count(*) AS defect_count,
+  CASE WHEN grouping(mode) = 0 THEN 'mode' END) AS slice, mode, category, coalesce(length_tier, -1)::BIGINT AS length_tier, count(*) AS defect_count,
  count(*) FILTER (WHERE graded) AS graded_count, count(*) FILTER (WHERE observed_failure) AS observed_failure_count,
  count(*) FILTER (WHERE NOT observed_failure) AS latent_defect_count,
  round_even(count(*) FILTER (WHERE observed_failure) / nullif(count(*) FILTER (WHERE graded), 0)::DOUBLE, 6) AS failure_rate,

@@ -4,4 +4,5 @@ from __future__ import annotations
 
 STATEMENTS: dict[str, str] = {}
 
-from oracle import evaluation_sets, scoring  # noqa: E402,F401
+from oracle import (  # noqa: E402,F401
+    evaluation_sets, operations, scoring, text_and_guard)

@@ -98,7 +98,17 @@ SHORT_KEY = r"\bsk-[A-Za-z0-9][A-Za-z0-9_-]{3,}\b"
 # ------------------------------------------------------------------------------
 
 INTENT = [name for name in FAMILIES if name not in STRUCTURAL]
-_FLAGS = "(?iUmd)"
+_FLAGS = "(?imd)"
+# Letters whose folding stays a letter: such text matches folded whenever it matches as is.
+_LATIN_ONLY = r"^[\x{9}\x{a}\x{d}\x{20}-\x{7e}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{131}]*$"
+
+
+def _regex(pattern: str) -> str:
+    """Word characters and edges count letters of every script."""
+    pattern = pattern.replace(r"\w", r"[\p{L}\p{N}_]")
+    return _FLAGS + pattern
+
+
 _L = X.lit_sql
 
 
@@ -115,17 +125,20 @@ def detection_variants(frame: DataFrame, text: str) -> DataFrame:
     frame = frame.withColumn("_visible", F.expr(strip_invisible_sql(f"coalesce({text}, '')")))
     frame = frame.withColumn("_spaced", F.expr(f"regexp_replace(_visible, {_L(CONTROL)}, ' ')"))
     frame = frame.withColumn("_folded", X.normalize_text("_spaced"))
-    return frame.withColumn("_squeezed", F.expr("replace(_folded, ' ', '')"))
+    return frame.withColumns({
+        "_squeezed": F.expr("replace(_folded, ' ', '')"), "_latin": F.expr(f"rlike(_visible, {_L(_LATIN_ONLY)})")})
 
 
 def _families_sql() -> str:
     hits = []
     for name, pattern in FAMILIES.items():
-        regex = _L(_FLAGS + pattern)
-        found = (f"rlike(_visible, {regex}) OR rlike(_folded, {regex}) "
-                 f"OR (_spaced <> _visible AND rlike(_spaced, {regex}))")
+        regex = _L(_regex(pattern))
+        found = f"rlike(_folded, {regex})"
         if name in COMPACT_PHRASES:
             found += f" OR rlike(_squeezed, {_L('|'.join(COMPACT_PHRASES[name]))})"
+        own = f"rlike(_visible, {regex}) OR (_spaced <> _visible AND rlike(_spaced, {regex}))"
+        # Line starts exist only before folding.
+        found += f" OR {own}" if pattern.startswith("^") else f" OR (NOT _latin AND ({own}))"
         hits.append(f"CASE WHEN {found} THEN {_L(name)} END")
     return f"array_compact(array({', '.join(hits)}))"
 
@@ -133,7 +146,7 @@ def _families_sql() -> str:
 def detect_injection(frame: DataFrame, text: str, out: str = "families") -> DataFrame:
     """Add attack families in reporting order; an empty array means nothing matched."""
     return detection_variants(frame, text).withColumn(out, F.expr(_families_sql())).drop(
-        "_visible", "_spaced", "_folded", "_squeezed")
+        "_visible", "_spaced", "_folded", "_squeezed", "_latin")
 
 
 def intent_of(families: Column) -> Column:
@@ -142,7 +155,7 @@ def intent_of(families: Column) -> Column:
 
 def neutralize(frame: DataFrame, text: str, max_chars: int = 600, out: str = "_g") -> DataFrame:
     """Add a struct of the guarded text and the audit of what was seen and removed."""
-    d, m, r = _L("(?iU)" + DELIMITER), _L("(?iU)" + TEMPLATE_MARKER), _L(_FLAGS + ROLE_PREFIX)
+    d, m, r = _L("(?i)" + DELIMITER), _L("(?i)" + TEMPLATE_MARKER), _L(_FLAGS + ROLE_PREFIX)
     frame = detection_variants(frame, text).withColumn("_families", F.expr(_families_sql()))
     frame = frame.withColumn("_lines", F.expr(
         f"translate(regexp_replace(regexp_replace(_spaced, {d}, ''), {m}, ''), '\\r', '\\n')"))
@@ -161,7 +174,7 @@ def neutralize(frame: DataFrame, text: str, max_chars: int = 600, out: str = "_g
         clipped.alias("text"), (F.size(intent) > 0).alias("suspicious"),
         F.col("_families").alias("families"), intent.alias("intent"), removed.alias("neutralized"),
         F.expr(f"{max_chars} > 0 AND length(_clean) > {max_chars}").alias("truncated"))
-    ).drop("_visible", "_spaced", "_folded", "_squeezed", "_families", "_lines", "_clean")
+    ).drop("_visible", "_spaced", "_folded", "_squeezed", "_latin", "_families", "_lines", "_clean")
 
 
 def mask_secret(value: Column | str) -> Column:

@@ -14,7 +14,8 @@ def query(function):
     return function
 
 
-from turnloom.plans import evaluation_sets, retrieval, scoring  # noqa: E402,F401
+from turnloom.plans import (  # noqa: E402,F401
+    evaluation_sets, operations, retrieval, scoring, text_and_guard)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,7 +192,8 @@ def rolled(space: Workspace) -> DataFrame:
 def aggregate_slices(spark, sf):
     rows = rolled(workspace(spark, sf))
     floats = [c for c, t in rows.dtypes if t == "double"]
-    return rows.select("slice", "mode", F.col("trial").cast("long").alias("trial"), "category", F.col("length_tier").cast("long").alias("length_tier"),
+    return rows.select("slice", "mode", F.coalesce(F.col("trial").cast("long"), F.lit(-1)).alias("trial"), "category",
+        F.coalesce(F.col("length_tier").cast("long"), F.lit(-1)).alias("length_tier"),
                        *[F.bround(c, 6).alias(c) if c in floats else F.col(c) for c in rows.columns
                          if c not in ("slice", "mode", "trial", "category", "length_tier")])
 
@@ -220,7 +221,8 @@ def aggregate_degradation_areas(spark, sf):
 def aggregate_trial_summaries(spark, sf):
     """Mean, sd and t interval across trials for every mode and headline measure."""
     trials = rolled(workspace(spark, sf)).where("slice = 'mode+trial'")
-    return rollups.summarize(rollups.long_form(trials, ["mode", "trial"]), ["mode", "metric"], "value", use_t=True)
+    rows = rollups.summarize(rollups.long_form(trials, ["mode", "trial"]), ["mode", "metric"], "value", use_t=True)
+    return rows.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
 @query
@@ -314,7 +316,7 @@ def failure_records(spark, sf):
 def failure_slices(spark, sf):
     sets = [[], ["mode"], ["category"], ["length_tier"], ["category", "mode"], ["length_tier", "mode"]]
     rows = failures.group_measures(failed(workspace(spark, sf)), sets)
-    return rows.withColumns({"failure_rate": F.bround("failure_rate", 6), "length_tier": F.col("length_tier").cast("long")})
+    return rows.withColumns({"failure_rate": F.bround("failure_rate", 6), "length_tier": F.coalesce(F.col("length_tier").cast("long"), F.lit(-1))})
 
 
 @query
