@@ -15,7 +15,7 @@ block("history", ["transcript"], f"""
 SELECT conv_id, pos, content, {S.est('content')} AS tokens, sum({S.est('content')}) OVER (PARTITION BY conv_id ORDER BY pos DESC) AS cum,
  row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS back FROM transcript""")
 block("totals", ["history", "tasks"], f"""
-SELECT t.conv_id, {S.est('t.question')} AS q, n, raw, CAST(greatest(4096, raw + 4 * n + {S.est('t.question')} + 4 + 1024) AS BIGINT) AS ceiling
+SELECT t.conv_id, {S.est('t.question')} AS q, h.n, h.raw, CAST(greatest(4096, h.raw + 4 * h.n + {S.est('t.question')} + 4 + 1024) AS BIGINT) AS ceiling
 FROM tasks t JOIN (SELECT conv_id, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS raw FROM history GROUP BY conv_id) h USING (conv_id)""")
 
 
