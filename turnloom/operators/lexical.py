@@ -36,7 +36,8 @@ def phrase_overlap(query_tokens: str, tokens: str) -> Column:
 
 
 def clamp(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Into [0, 1]; NULL stays NULL (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def lexical_scores(items: DataFrame, questions: DataFrame, keys: list[str], item: str,
@@ -79,7 +80,7 @@ def lexical_scores(items: DataFrame, questions: DataFrame, keys: list[str], item
              + SIMILARITY_WEIGHT * shared / (wanted + own - shared)
              + PHRASE_WEIGHT * phrase_overlap("q_tokens", "tokens"))
     if entities:
-        score = score + ENTITY_BONUS * F.coalesce(F.least(F.lit(1.0), "entity_share"), F.lit(0.0))
+        score = score + ENTITY_BONUS * F.coalesce("entity_share", F.lit(0.0))
     drop = ["item_weight", "shared_weight", "q_weight", "q_tokens"] + (["entity_share"] if entities else [])
     return scored.withColumn(
         "lexical", F.when(wanted.isNull() | own.isNull(), F.lit(0.0)).otherwise(clamp(score))

@@ -129,12 +129,8 @@ def runtime_component(signals: Column, informative: Column) -> Column:
     return clamp(value)
 
 
-def clamp_nullable(value: Column) -> Column:
-    return F.when(value.isNotNull(), clamp(value))
-
-
 def query_component(signals: Column, informative: Column) -> Column:
-    return clamp_nullable(_blend(QUERY_SIGNAL_WEIGHTS, signals, informative))
+    return clamp(_blend(QUERY_SIGNAL_WEIGHTS, signals, informative))
 
 
 def weighted_mean(parts: list[tuple[Column, Column]]) -> Column:
@@ -150,13 +146,12 @@ def weighted_mean(parts: list[tuple[Column, Column]]) -> Column:
 def recency_score(policy: RetrievalPolicy, as_of: Column) -> Column:
     """Half-life decay by the best clock: timestamp, else turn, else recall position."""
     seen = F.coalesce("observed_at", "created_at")
-    hours = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(seen)) / 3.6e9)
-    turns = F.greatest(F.lit(0), F.col("current_turn") - F.col("source_turn"))
-    decay = lambda age, half: F.pow(F.lit(0.5), age / half)
+    age = lambda value: F.when(value.isNotNull(), F.greatest(F.lit(0.0), value.cast("double")))
+    decay = lambda value, half: F.pow(F.lit(0.5), age(value) / half)
     return F.coalesce(
-        decay(hours, policy.recency_half_life_hours),
-        decay(turns, policy.recency_half_life_turns),
-        decay(F.greatest(F.lit(0), F.col("position")), policy.recency_half_life_positions))
+        decay((F.unix_micros(as_of) - F.unix_micros(seen)) / 3.6e9, policy.recency_half_life_hours),
+        decay(F.col("current_turn") - F.col("source_turn"), policy.recency_half_life_turns),
+        decay(F.col("position"), policy.recency_half_life_positions))
 
 
 def informative_signals(alive: Column, keys: list[str]) -> Column:
@@ -238,7 +233,7 @@ def group_lexical(rows: DataFrame, keys: list[str], alive: str) -> DataFrame:
     score = (COVERAGE_WEIGHT * F.col("_shared") / F.col("_wanted")
              + SIMILARITY_WEIGHT * F.col("_shared") / F.col("_union")
              + PHRASE_WEIGHT * phrase_overlap("q_tokens", "tokens")
-             + ENTITY_BONUS * F.coalesce(F.least(F.lit(1.0), "_entity"), F.lit(0.0)))
+             + ENTITY_BONUS * F.coalesce("_entity", F.lit(0.0)))
     empty = F.expr("size(q_tokens) = 0 OR size(tokens) = 0")
     return rows.withColumn("lexical", F.when(F.expr(alive), F.when(empty, F.lit(0.0)).otherwise(clamp(score)))).drop(
         "_sets", "_named", "_shared", "_wanted", "_union", "_entity")

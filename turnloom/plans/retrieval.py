@@ -126,8 +126,7 @@ def retrieval_frequencies(spark, sf):
 @query
 def retrieval_scores(spark, sf):
     """Score parts and rank of every candidate, all modes that use memory."""
-    return workspace(spark, sf).decided.where(
-        "drop_reason IS NULL OR drop_reason NOT IN ('empty', 'stale', 'expired') OR detail IS NOT NULL").select(
+    return workspace(spark, sf).decided.where("lexical IS NOT NULL").select(
         *QM, "memory_id", F.col("rn").cast("long").alias("rn"),
         *_six("lexical", "runtime", "query_runtime", "recency", "relevance", "score"),
         F.array_join("informative", "|").alias("informative"))
