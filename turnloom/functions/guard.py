@@ -153,6 +153,15 @@ def intent_of(families: Column) -> Column:
     return F.filter(families, lambda f: f.isin(*INTENT))
 
 
+def survives_guard_sql(x: str) -> str:
+    """Whether any text is left after the guard; plain prose needs no rewriting to know."""
+    bare = (f"regexp_replace(regexp_replace(regexp_replace({strip_invisible_sql(x)}, {_L(CONTROL)}, ' '), "
+            f"{_L('(?i)' + DELIMITER)}, ''), {_L('(?i)' + TEMPLATE_MARKER)}, '')")
+    lines = f"regexp_replace(translate({bare}, '\\r', '\\n'), {_L(_FLAGS + ROLE_PREFIX)}, '')"
+    return (f"CASE WHEN NOT rlike({x}, {_L('[<' + chr(92) + '[#:]|' + CONTROL + '|' + INVISIBLE)}) THEN length(trim({x})) > 0 "
+            f"ELSE length({X.normalize_sql(lines)}) > 0 END")
+
+
 def neutralize(frame: DataFrame, text: str, max_chars: int = 600, out: str = "_g") -> DataFrame:
     """Add a struct of the guarded text and the audit of what was seen and removed."""
     d, m, r = _L("(?i)" + DELIMITER), _L("(?i)" + TEMPLATE_MARKER), _L(_FLAGS + ROLE_PREFIX)

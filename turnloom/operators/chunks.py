@@ -45,8 +45,8 @@ def chunk_history(messages: DataFrame, keys: list[str], order: str = "pos",
 
 
 def _guarded(frame: DataFrame) -> DataFrame:
-    guarded = G.neutralize(frame, "text", GUARD_CHARS)
-    return guarded.withColumn("_usable", F.length(X.normalize_text("_g.text")) > 0)
+    """Flag what the guard would leave empty; the guard itself runs on the picks only."""
+    return frame.withColumn("_usable", F.expr(G.survives_guard_sql("text")))
 
 
 def retrieve_chunks(chunks: DataFrame, questions: DataFrame, keys: list[str], top_k: int = 6,
@@ -76,7 +76,7 @@ def greedy_top_k(scored: DataFrame, keys: list[str], top_k: int, threshold: floa
     order = Window.partitionBy(*keys).orderBy("r")
     first = best.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= FOLD_ROWS + 1)
     flat = _guarded(first.select(*keys, "r", "_rn", "b.*"))
-    row = F.struct("r", "_rn", "role", "lexical", "tokens", "_usable", "_g")
+    row = F.struct("r", "_rn", "role", "lexical", "tokens", "_usable", "text")
     folded = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     kind = first.sparkSession.createDataFrame([], folded.schema).schema["rows"].dataType
     resembles = lambda a, b: X.jaccard(a["tokens"], b["tokens"]) >= threshold
@@ -95,12 +95,14 @@ def greedy_top_k(scored: DataFrame, keys: list[str], top_k: int, threshold: floa
 
 
 def _picks(folded: DataFrame, keys: list[str]) -> DataFrame:
-    return folded.select(*keys, F.posexplode("kept").alias("_i", "k")).select(
+    rows = folded.select(*keys, F.posexplode("kept").alias("_i", "k")).select(
         *keys, (F.col("_i") + 1).alias("rank"), F.col("k.r.chunk_id").alias("chunk_id"),
         F.col("k.r.turn").alias("turn"), F.col("k.role").alias("role"),
-        F.col("k.lexical").alias("score"), F.col("k._g.text").alias("text"),
-        F.col("k._g.suspicious").alias("suspicious"), F.col("k._g.families").alias("families"),
-        F.col("k._g.neutralized").alias("neutralized"))
+        F.col("k.lexical").alias("score"), F.col("k.text").alias("_text"))
+    return G.neutralize(rows, "_text", GUARD_CHARS).select(
+        *keys, "rank", "chunk_id", "turn", "role", "score", F.col("_g.text").alias("text"),
+        F.col("_g.suspicious").alias("suspicious"), F.col("_g.families").alias("families"),
+        F.col("_g.neutralized").alias("neutralized"))
 
 
 def _finish(picks: DataFrame, rest: DataFrame, best: DataFrame, keys: list[str], top_k: int,
@@ -120,7 +122,7 @@ def rounds(pool: DataFrame, keys: list[str], top_k: int, threshold: float) -> Da
     found = None
     for number in range(1, top_k + 1):
         best = pool.groupBy(*keys).agg(F.min_by(
-            F.struct("r", "role", "lexical", "tokens", "_g"), "r").alias("k"))
+            F.struct("r", "role", "lexical", "tokens", "text"), "r").alias("k"))
         best = cut_lineage(best)
         rows = best.select(*keys, F.array("k").alias("kept"))
         rows = _picks(rows, keys).withColumn("rank", F.lit(number))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
 from turnloom.operators import budgets, packing
+from turnloom.operators import chunks as C
 from turnloom.operators import modes as M
 from turnloom.plans.registry import query
 from turnloom.plans.workspace import Q, QM, shared_folder, workspace
@@ -18,6 +19,19 @@ def _stats(contexts):
     return contexts.stats.select(*QM, *packing.STAT_FIELDS)
 
 
+@query
+def conversation_contexts(spark, sf):
+    """The last user turn of every conversation asked of its earlier turns: chunks, window, accounting."""
+    turns = workspace(spark, sf).turns
+    asked = turns.where("lower(role) = 'user'").groupBy("conv_id").agg(
+        F.max("turn").alias("asked"), F.max_by("text", "turn").alias("question"))
+    messages = turns.join(asked.select("conv_id", "asked"), "conv_id").where("turn < asked").select(
+        "conv_id", F.col("turn").cast("int").alias("pos"), "role", F.col("text").alias("content"))
+    questions = asked.select("conv_id", X.content_tokens("question").alias("q_tokens"))
+    top = C.retrieve_chunks(C.chunk_history(messages, Q), questions, Q)
+    return _stats(packing.build_contexts(asked, messages, None, top, modes=M.MODES[:3]))
+
+
 @query
 def context_stats(spark, sf):
     """Accounting of every (task, mode)."""

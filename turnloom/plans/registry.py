@@ -19,4 +19,5 @@ from turnloom.plans import (  # noqa: E402,F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["eval_transcript"](spark, folder)
+    """Chunk retrieval, window and accounting for every conversation."""
+    return QUERIES["conversation_contexts"](spark, folder)
