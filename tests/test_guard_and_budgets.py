@@ -39,6 +39,13 @@ def test_scan_assignment_rules(spark):
     assert got == [(2, "key_value_assignment", 3), (3, "openai_key", 0), (3, "openai_key", 20)]
 
 
+def test_previews_mask_before_clipping(spark):
+    key = "sk-" + "a1B2c3D4e5F6g7H8"
+    rows = spark.createDataFrame([(f"see  {key}\n{key}\u200b end",), ("x" * 200,)], "t string")
+    got = [r.p for r in CR.clip_previews(rows, "t", "p").collect()]
+    assert got == ["see sk-…[19 chars] sk-…[19 chars] end", "x" * 159 + "…"]
+
+
 def test_scan_json(spark):
     rows = spark.createDataFrame([(1, '{"token": null}'), (2, '{"token":"x"}'), (3, '{"a":[{"Api-Key":"123456789"}]}')], "i int, t string")
     got = {r.i: (r.pointer, r.preview) for r in CR.scan_json_fields(rows, ["i"], "t").collect()}

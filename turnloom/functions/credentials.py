@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import guard as G
-from turnloom.functions.text import lit_sql
+from turnloom.functions.text import collapse_spaces_sql, lit_sql
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,6 +64,28 @@ def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
         *keys, "category", F.col("f.offset").alias("offset"), G.mask_secret("f.match").alias("preview"))
 
 
+def mask_shapes(frame: DataFrame, text: str, out: str) -> DataFrame:
+    """Replace every credential-shaped string by its masked shape, pattern after pattern."""
+    frame = frame.withColumn(out, F.col(text))
+    mask = ("CASE WHEN length(m) <= 8 THEN concat('[', length(m), ' chars]') "
+            "ELSE concat(left(m, 3), '…[', length(m), ' chars]') END")
+    for pattern in CREDENTIALS.values():
+        p = lit_sql(_regex(pattern))
+        frame = frame.withColumn(out, F.expr(
+            f"CASE WHEN rlike({out}, {p}) THEN array_join(zip_with(split({out}, {p}, -1), "
+            f"transform(regexp_extract_all({out}, {p}, 0), m -> {mask}), "
+            f"(g, m) -> concat(g, coalesce(m, ''))), '') ELSE {out} END"))
+    return frame
+
+
+def clip_previews(frame: DataFrame, text: str, out: str, limit: int = 160) -> DataFrame:
+    """A preview that is safe to store: no invisible characters, no credentials, bounded."""
+    frame = frame.withColumn(out, F.expr(collapse_spaces_sql(G.strip_invisible_sql(text))))
+    frame = mask_shapes(frame, out, out)
+    return frame.withColumn(out, F.expr(
+        f"CASE WHEN length({out}) <= {limit} THEN {out} ELSE concat(left({out}, {limit - 1}), '…') END"))
+
+
 def known_secrets(frame: DataFrame, keys: list[str], text: str, secrets: list[str]) -> DataFrame:
     wanted = F.array(*[F.lit(s) for s in sorted({s for s in secrets if s}, key=lambda s: (-len(s), s))])
     rows = frame.select(*keys, F.col(text).alias("_t"), F.explode(wanted).alias("_s")).where("contains(_t, _s)")

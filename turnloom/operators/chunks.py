@@ -68,9 +68,9 @@ def greedy_top_k(scored: DataFrame, keys: list[str], top_k: int, threshold: floa
     """
     rank = F.struct((-F.round("lexical", RANK_PLACES)).alias("neg"), "turn", "chunk_id")
     body = F.struct("role", "text", "lexical", F.array_distinct("tokens").alias("tokens"))
+    same = F.array_join(F.sort_array(F.array_distinct("tokens")), " ") if threshold > 0 else F.col("chunk_id")
     best = (
-        scored.select(*keys, rank.alias("r"), body.alias("b"),
-                      F.array_join(F.sort_array(F.array_distinct("tokens")), " ").alias("_set"))
+        scored.select(*keys, rank.alias("r"), body.alias("b"), same.alias("_set"))
         .groupBy(*keys, "_set").agg(F.min(F.struct("r", "b")).alias("c"))
         .select(*keys, "c.r", "c.b"))
     order = Window.partitionBy(*keys).orderBy("r")
@@ -86,12 +86,14 @@ def greedy_top_k(scored: DataFrame, keys: list[str], top_k: int, threshold: floa
             (F.size(acc) < top_k) & x["_usable"]
             & ~F.exists(acc, lambda k: resembles(k, x) & F.lit(threshold > 0)),
             F.concat(acc, F.array(x))).otherwise(acc))
-    folded = folded.withColumn("kept", kept)
-    short = (F.size("kept") < top_k) & (F.size("rows") > FOLD_ROWS)
-    done = folded.where(~short) if FOLD_ROWS else folded
-    picks = _picks(done, keys)
-    rest = folded.where(short).select(*keys)
-    return _finish(picks, rest, best, keys, top_k, threshold)
+    short = (F.size(kept) < top_k) & (F.size("rows") > FOLD_ROWS)
+    # Written once: the answer of nearly every group, and the check for groups that need more.
+    folded = cut_lineage(folded.select(*keys, kept.alias("kept"), short.alias("_short")))
+    picks = _picks(folded.where("NOT _short"), keys)
+    rest = folded.where("_short").select(*keys)
+    if rest.isEmpty():
+        return picks
+    return picks.unionByName(rounds(best.join(rest, keys, "left_semi"), keys, top_k, threshold))
 
 
 def _picks(folded: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,17 +107,6 @@ def _picks(folded: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_g.neutralized").alias("neutralized"))
 
 
-def _finish(picks: DataFrame, rest: DataFrame, best: DataFrame, keys: list[str], top_k: int,
-            threshold: float) -> DataFrame:
-    rest = rest.persist()
-    try:
-        if rest.isEmpty():
-            return picks
-        return picks.unionByName(rounds(best.join(rest, keys, "left_semi"), keys, top_k, threshold))
-    finally:
-        rest.unpersist()
-
-
 def rounds(pool: DataFrame, keys: list[str], top_k: int, threshold: float) -> DataFrame:
     """Exact greedy selection of ``top_k`` per group from any number of candidates."""
     pool = cut_lineage(_guarded(pool.select(*keys, "r", "b.*")).where("_usable"))

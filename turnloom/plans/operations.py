@@ -22,13 +22,16 @@ def _stats(contexts):
 @query
 def conversation_contexts(spark, sf):
     """The last user turn of every conversation asked of its earlier turns: chunks, window, accounting."""
-    turns = workspace(spark, sf).turns
+    space = workspace(spark, sf)
+    turns = space.turns
     asked = turns.where("lower(role) = 'user'").groupBy("conv_id").agg(
         F.max("turn").alias("asked"), F.max_by("text", "turn").alias("question"))
     messages = turns.join(asked.select("conv_id", "asked"), "conv_id").where("turn < asked").select(
         "conv_id", F.col("turn").cast("int").alias("pos"), "role", F.col("text").alias("content"))
     questions = asked.select("conv_id", X.content_tokens("question").alias("q_tokens"))
-    top = C.retrieve_chunks(C.chunk_history(messages, Q), questions, Q)
+    # Scoring reads the chunks several times, so they are written once.
+    chunks = space.keep(C.chunk_history(messages, Q), "asked_chunks")
+    top = C.retrieve_chunks(chunks, questions, Q)
     return _stats(packing.build_contexts(asked, messages, None, top, modes=M.MODES[:3]))
 
 

@@ -231,6 +231,13 @@ def scan_findings(spark, sf):
     return CR.scan_text(leaky_documents(spark, sf), ["doc_id"], "body")
 
 
+@query
+def guard_previews(spark, sf):
+    """Previews of the end of every document, with credentials masked before clipping."""
+    tail = leaky_documents(spark, sf).select("doc_id", F.right("body", F.lit(120)).alias("tail"))
+    return CR.clip_previews(tail, "tail", "preview").select("doc_id", "preview")
+
+
 @query
 def scan_known_secrets(spark, sf):
     return CR.known_secrets(leaky_documents(spark, sf), ["doc_id"], "body", [_KEY, "-----BEGIN RSA"])
