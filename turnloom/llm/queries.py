@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import mixing, token_files, url_filter
+from turnloom.llm import chat_tree, mixing, multiprobe, piece_codec, pivot_topk, token_files, url_filter
 
 QUERIES = {}
 
@@ -28,6 +28,33 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    index, tree = chat_tree.prefix_tree(turns.unionByName(tricky), tokenizer_file("byte_bpe_50k.json"))
+    return chat_tree.read_conversations(index, tree, tokenizer_file("byte_bpe_50k.json"))
+
+
+@query
+def op4_pivot_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return piece_codec.encode_and_decode(documents, tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op7_multiprobe_search(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(table(spark, folder, "documents"))
