@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat_tree, mixing, multiprobe, piece_codec, pivot_topk, token_files, url_filter
+from turnloom.llm import chat_tree, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
 
 QUERIES = {}
 
@@ -28,6 +28,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.severity_of(documents, table(spark, folder, "labels")).drop("text")
+
+
 @query
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings."""
