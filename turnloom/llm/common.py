@@ -34,10 +34,8 @@ def keep(frame: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound an Arrow batch of whole texts; a task holds one batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+    """Rows of an Arrow batch from here on; a task holds one batch at a time, so it bounds whole texts and packed blocks."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -181,5 +181,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, tables: int = TABLE
     probed = keep(packed(lay(_bucketed(clean.where(queries), family, probes)), order[:2], width, kind, QUERY_ROWS), "probes")
     asked = probed.select("hash_table", "bucket", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     met = asked.join(index.select("hash_table", "bucket", "ids", "data"), ["hash_table", "bucket"])
+    small_batches(spark, 32)  # of two packed blocks each
     found = met.select("q_ids", "q_data", "ids", "data").mapInArrow(_rerank(width, k, kind), "query_id bigint, found binary, scores binary")
+    found = keep(found, "found")
+    small_batches(spark)
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), RESULT)

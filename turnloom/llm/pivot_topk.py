@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import column, keep
+from turnloom.llm.common import column, keep, small_batches
 from turnloom.llm.vectors import TopK, matrix, packed, ranked_rows, unpack, usable
 
 K, PIVOTS, SAMPLE = 20, 32, 2048
@@ -167,6 +167,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, factor: int = 64, piv
     lets it lie within. The annuli are then read in order of their bound until the bound is beyond reach.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     clean = keep(scaled(usable(vectors, zeros=True), factor), "vectors")
     width, top = clean.agg(F.max(F.size("embedding")), F.max(F.aggregate(
         "embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
@@ -184,6 +185,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, factor: int = 64, piv
     asked = keep(packed(lay(keyed.where(queries)), ["pivot"], width, "int64", QUERY_ROWS, "distance"), "queries")
     bound = F.greatest(F.lit(0.0), F.col("lo") - F.col("q_hi"), F.col("q_lo") - F.col("hi"))
     pairs = keep(_query_spans(asked, space), "spans").join(index.select("pivot", "block", "lo", "hi"), "pivot").withColumn("bound", bound)
+    small_batches(spark, 16)  # of a packed block each
     nearest = Window.partitionBy("query_block").orderBy("bound", "block")
     seeds = pairs.withColumn("place", F.row_number().over(nearest)).where("place <= 2")
     reach = keep(_with_payload(seeds, asked, index).mapInArrow(_search(space, k, True), "query_block bigint, reach double"), "reach")

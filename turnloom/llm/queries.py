@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat_tree, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
+from turnloom.llm import chat_tree, dart_minhash, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
 
 QUERIES = {}
 
@@ -56,6 +56,11 @@ def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encode_and_decode(documents, tokenizer_file("piece_bpe_32k.model"))
 
 
+@query
+def op6_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dart_minhash.classes(table(spark, folder, "documents"))
+
+
 @query
 def op7_multiprobe_search(spark: SparkSession, folder: str) -> DataFrame:
     return multiprobe.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -10,6 +10,7 @@ A reader may fetch any block through the index without the rest.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,9 @@ from turnloom.llm.common import column, keep, scratch, small_batches
 MAGIC = b"TLPLANE1"
 BLOCK = 1 << 16
 PLANES = 4
-CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{{1,{CACHED_LENGTH}}}").fullmatch
+SEEN = (1 << 23) - 1  # places of the table of words met before
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -39,8 +42,9 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 class WordEncoder:
     """Encodes whole texts with a tokenizer whose white space only separates; repeated words are looked up.
 
-    Exact for tokenizers that drop white space before they split (as word_bpe_49k does): a text is cut
-    at blanks and line feeds alone, and no rule of theirs looks across those.
+    Exact for BPE tokenizers that drop white space and mark the end of words (as word_bpe_49k). A text is cut at
+    blanks and line feeds alone, as no rule looks across those. A full stop or comma after a last letter is a word of its own
+    to the tokenizer. New words of letters are encoded many at a time, and told apart by the marked ends.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -49,24 +53,67 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], np.uint32).tobytes()
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.seen = bytearray(SEEN + 1)
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, np.uint32).tobytes() for x in found]
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            if len(self.known) > CACHED_WORDS:
-                self.known = {"": b""}
-                ids = list(map(self.known.get, words))
-            missing = list({w for w, i in zip(words, ids) if i is None})
-            new = dict(zip(missing, self._encode(missing)))
-            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
-            self.known.update((w, i) for w, i in new.items() if len(w) <= CACHED_LENGTH)
-        return b"".join(ids) + self.end
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of plain letters."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), 256):
+            some = words[at:at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some) or ends[-1] != len(ids) * 4:
+                out.update(zip(some, self._each(some)))
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist()):
+                out[word] = data[begin:end]
+                begin = end
+        return out
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known."""
+        known, found = self.known, {}
+        stopped = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
+        bare = {w[:-1] for w in stopped} | (words.difference(stopped))
+        bare -= known.keys()
+        # These letters stay letters of their own in all normal forms and in lower case.
+        plain = list(filter(PLAIN, bare))
+        found = self._together(plain)
+        rest = list(bare.difference(plain))
+        found.update(zip(rest, self._each(rest)))
+        ends = dict(zip(".,", self._each([".", ","])))
+        stops = [(found[b] if (b := w[:-1]) in found else known[b]) + ends[w[-1]] for w in stopped]
+        found.update(zip(stopped, stops))
+        # Only words that come again are worth their place.
+        seen = self.seen
+        for word, ids in found.items():
+            place = hash(word) & SEEN
+            if not seen[place]:
+                seen[place] = 1
+            elif len(word) <= CACHED_LENGTH:
+                known[word] = ids
+        for word in words.difference(found):
+            found[word] = known[word]
+        return found
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.seen = {"": b""}, bytearray(SEEN + 1)
+        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        ids = [list(map(self.known.get, words)) for words in cut]
+        missing = {w for words, found in zip(cut, ids) if None in found for w, i in zip(words, found) if i is None}
+        new = self._new(missing) if missing else {}
+        return [b"".join([new[w] if i is None else i for w, i in zip(words, found)] if None in found else found) + self.end
+                for words, found in zip(cut, ids)]
 
 
 class PlaneWriter:
@@ -174,8 +221,8 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
                 files.create_dir(root, recursive=True)
                 sink = files.open_output_stream(f"{root}/{name}")
                 writer, encode = PlaneWriter(sink), WordEncoder(tokenizer, end_id)
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text")):
-                writer.add(doc_id, encode(text.as_py()))
+            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encode(column(batch, "text").to_pylist())):
+                writer.add(doc_id, ids)
         if writer is not None:
             total = writer.close()
             sink.close()
