@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat_tree, dart_minhash, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
+from turnloom.llm import chat_tree, dart_minhash, maxent_lm, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
 
 QUERIES = {}
 
@@ -30,8 +30,12 @@ def tokenizer_file(name: str) -> str:
 
 @query
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return toxicity.severity_of(documents, table(spark, folder, "labels")).drop("text")
+    return toxicity.severity_of(table(spark, folder, "documents"), table(spark, folder, "labels"), passing=["doc_id"])
+
+
+@query
+def op2_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent_lm.score_texts(table(spark, folder, "documents"))
 
 
 @query

@@ -17,7 +17,7 @@ from turnloom.llm.common import column, small_batches
 
 FEATURES = 1 << 20   # hashed words and beginnings of words
 BEGINNINGS = (4, 5, 6, 7)
-SAMPLE = 12_000      # most labelled texts that a model is fitted on
+SAMPLE = 8_000       # most labelled texts that a model is fitted on
 GRADES = 4           # 0: none, 1..3 by the number of telling words
 CUT = 0.5            # expected severity from which a document is rejected
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,8 +88,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
 
 def _log_odds(flat: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """How much more often a feature is in toxic than in other texts, in units of its standard deviation."""
-    one = np.bincount(flat[toxic[rows] == 1], minlength=FEATURES) + 0.5
-    none = np.bincount(flat[toxic[rows] == 0], minlength=FEATURES) + 0.5
+    every = np.bincount(flat, minlength=FEATURES)
+    one = np.bincount(flat[toxic[rows] == 1], minlength=FEATURES)
+    one, none = one + 0.5, every - one + 0.5
     n1, n0 = (toxic == 1).sum() + 1.0, (toxic == 0).sum() + 1.0
     return (np.log(one / n1) - np.log(none / n0)) / np.sqrt(1 / one + 1 / none)
 
@@ -116,8 +117,9 @@ def fit(flat: np.ndarray, rows: np.ndarray, grade: np.ndarray, n_grades: int = G
     n = len(grade)
     common = np.bincount(flat, minlength=FEATURES) >= RARE
     rows, flat = rows[common[flat]], flat[common[flat]]
-    used, compact = np.unique(flat, return_inverse=True)
-    weights = np.zeros(len(used))
+    used = np.flatnonzero(common)
+    compact = (np.cumsum(common) - 1).astype(np.int32)[flat]
+    weights = np.zeros(len(used), np.float32)
     share = np.array([(grade > k).mean() for k in range(n_grades - 1)])
     share = np.clip(share, 0.5 / max(n, 1), 1 - 0.5 / max(n, 1))
     first, gaps = np.log((1 - share[0]) / share[0]), np.log(np.maximum(np.diff(np.log((1 - share) / share)), 1e-2))
@@ -131,7 +133,7 @@ def fit(flat: np.ndarray, rows: np.ndarray, grade: np.ndarray, n_grades: int = G
         at = np.arange(n)
         chance = np.maximum(edges[at, grade] - edges[at, grade + 1], 1e-12)
         pull = (slope[at, grade] - slope[at, grade + 1]) / chance / n
-        g_weights = -np.bincount(compact, weights=pull[rows], minlength=len(used)) + ridge * weights / n
+        g_weights = (ridge * weights / n - np.bincount(compact, weights=pull[rows], minlength=len(used))).astype(np.float32)
         push = np.zeros(n_grades + 1)
         np.add.at(push, grade, slope[at, grade] / chance / n)
         np.add.at(push, grade + 1, -slope[at, grade + 1] / chance / n)
@@ -158,14 +160,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordi
     if not found.num_rows:
         return OrdinalModel(np.zeros(FEATURES), np.full(GRADES - 1, 50.0))
     lists = found["features"].combine_chunks() if isinstance(found["features"], pa.ChunkedArray) else found["features"]
-    flat = lists.flatten().to_numpy().astype(np.int64)
-    rows = np.repeat(np.arange(found.num_rows), np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(found.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     toxic = found["toxic"].to_numpy()
     return fit(flat, rows, grades_of(flat, rows, toxic))
 
 
-def score(documents: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFrame:
-    """Adds severity (expected grade), grade (most likely) and rejected to every row.
+def score(documents: DataFrame, model: OrdinalModel, cut: float = CUT, passing: list[str] | None = None) -> DataFrame:
+    """Adds severity (expected grade), grade (most likely) and rejected to every row; ``passing``: the columns to pass on (all).
 
     Whole texts are read. NULL and empty texts have no features, so the base rate speaks for them. Columns of the
     three names are replaced; all others, and repeated rows, stay as they are. The model is 8 MB whatever
@@ -174,7 +176,7 @@ def score(documents: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFr
     small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     added = ("severity", "grade", "rejected")
-    kept = [c for c in documents.columns if c not in added]
+    kept = [c for c in (passing or documents.columns) if c not in added]
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
     schema += ", severity double, grade int, rejected boolean"
 
@@ -183,14 +185,14 @@ def score(documents: DataFrame, model: OrdinalModel, cut: float = CUT) -> DataFr
         fitted = OrdinalModel(weights, thresholds)
         features = Hasher()
         for batch in batches:
-            margins = np.array([weights[features(t)].sum(dtype=np.float64) for t in column(batch, "text").to_pylist()])
+            margins = np.array([weights[features(t)].sum(dtype=np.float64) for t in column(batch, "_text").to_pylist()])
             severity = fitted.expected(margins)
             grade = fitted.probabilities(margins).argmax(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [*[column(batch, c) for c in kept], pa.array(severity), pa.array(grade), pa.array(severity >= cut)], [*kept, *added])
 
-    return documents.select(*kept).mapInArrow(run, schema)
+    return documents.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def severity_of(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    return score(documents, train(documents, labels), cut)
+def severity_of(documents: DataFrame, labels: DataFrame, cut: float = CUT, passing: list[str] | None = None) -> DataFrame:
+    return score(documents, train(documents, labels), cut, passing)
