@@ -55,7 +55,7 @@ _DAY, _HOUR = draw("conv_id", 4, 6), draw("conv_id", 6, 5)
 block("sized", [], f"SELECT conv_id, count(*) AS n_turns, CAST(sum({S.est('text')}) AS BIGINT) AS raw_tokens "
                    "FROM conversations GROUP BY conv_id")
 block("named", ["sized"], f"""
-SELECT *, {pick(E.CATEGORIES, 'conv_id')} AS category, {pick(E.TIERS, draw('conv_id', 8, 3))} AS length_tier,
+SELECT *, {pick(E.CATEGORIES, 'conv_id')} AS category, CASE WHEN raw_tokens <= 500 THEN 500 WHEN raw_tokens <= 1000 THEN 1000 ELSE 3000 END AS length_tier,
  {pick(E.PROJECTS, _D1)} AS project, {pick(E.DATABASES, _D2)} AS database,
  {pick(E.DATABASES, _D2 + ' + 1')} AS new_database, {pick(E.REGIONS, draw('conv_id', 3, 6))} AS region,
  {pick(E.DAYS, _DAY)} AS old_day, {pick(E.DAYS, _DAY + ' + 1 + ' + draw('conv_id', 5, 5))} AS new_day,
@@ -101,34 +101,11 @@ FROM (SELECT *, least(n_turns + n_facts - 1 - j, max(round_even(position * (n_tu
 block("fact_sizes", ["facts"], f"""
 SELECT conv_id, max(n_facts) AS n_facts, max(introduced_turn) FILTER (WHERE role <> 'absent') AS last_fact,
  CAST(sum({S.est('text')} + {S.est('ack')}) FILTER (WHERE role <> 'absent') AS BIGINT) AS fact_tokens FROM facts GROUP BY conv_id""")
-block("kept_turns", ["facts", "tasks", "fact_sizes"], f"""
-SELECT conv_id, turn + 2 * n_before AS pos, lower(role) AS role, text AS content, '' AS fact_id
-FROM (SELECT c.conv_id, c.turn, c.role, c.text, t.length_tier,
-       sum({S.est('c.text')}) OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS cum,
-       (SELECT count(*) FROM facts f WHERE f.conv_id = c.conv_id AND f.role <> 'absent' AND f.turns_before <= c.turn) AS n_before,
-       (SELECT coalesce(sum({S.est('f.text')} + {S.est('f.ack')}), 0) FROM facts f
-         WHERE f.conv_id = c.conv_id AND f.role <> 'absent' AND f.turns_before <= c.turn) AS said,
-       s.n_facts
-      FROM conversations c JOIN tasks t USING (conv_id) JOIN fact_sizes s USING (conv_id))
-WHERE n_before < n_facts OR cum + said <= length_tier * {E.LENGTH_CEILING}e0""")
-block("grow", ["kept_turns", "tasks", "fact_sizes"], f"""
-SELECT conv_id, base, greatest(0, ceil((length_tier * {E.LENGTH_FLOOR}e0 - (raw_tokens + fact_tokens)) / {E.GROW_BLOCK_TOKENS}e0),
-   ceil(({E.MIN_TAIL} - (base - last_fact)) / 2e0))::INTEGER AS pairs
-FROM (SELECT t.*, s.fact_tokens, s.last_fact,
-       (SELECT count(*) FROM kept_turns k WHERE k.conv_id = t.conv_id) + 2 * s.n_facts AS base
-      FROM tasks t JOIN fact_sizes s USING (conv_id))""")
-
-
-def _line(template: str) -> str:
-    return f"replace({S.quote(template)}, '{{index}}', lpad(i::VARCHAR, 4, '0'))"
-
-
-block("messages", ["kept_turns", "facts", "grow"], f"""
-SELECT conv_id, pos::INTEGER AS pos, role, content, fact_id FROM kept_turns
+block("messages", ["facts"], """
+SELECT conv_id, (turn + 2 * (SELECT count(*) FROM facts f WHERE f.conv_id = c.conv_id AND f.role <> 'absent' AND f.turns_before <= c.turn))::INTEGER AS pos,
+ lower(role) AS role, text AS content, '' AS fact_id FROM conversations c
 UNION ALL SELECT conv_id, introduced_turn, 'user', text, fact_id FROM facts WHERE role <> 'absent'
-UNION ALL SELECT conv_id, introduced_turn + 1, 'assistant', ack, '' FROM facts WHERE role <> 'absent'
-UNION ALL SELECT conv_id, (base + 2 * i)::INTEGER, 'user', {_line(E.GROW_USER)}, '' FROM (SELECT *, unnest(range(0, pairs)) AS i FROM grow)
-UNION ALL SELECT conv_id, (base + 2 * i + 1)::INTEGER, 'assistant', {_line(E.GROW_ASSISTANT)}, '' FROM (SELECT *, unnest(range(0, pairs)) AS i FROM grow)""")
+UNION ALL SELECT conv_id, introduced_turn + 1, 'assistant', ack, '' FROM facts WHERE role <> 'absent'""")
 block("transcript", ["messages", "tasks"], f"""
 SELECT m.*, CASE WHEN m.pos >= b.boundary THEN 1 ELSE 0 END AS session FROM messages m LEFT JOIN (
  SELECT conv_id, min(pos) AS boundary FROM messages JOIN (

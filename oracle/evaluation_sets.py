@@ -31,6 +31,7 @@ SELECT conv_id, fact_id, role, fact_type, text, subject, value, array_to_string(
  supersedes, superseded_by, introduced_turn::BIGINT AS introduced_turn FROM facts""")
 STATEMENTS["eval_transcript"] = compose(["transcript"], """
 SELECT conv_id, pos::BIGINT AS pos, role, content, fact_id, session::BIGINT AS session FROM transcript""")
+STATEMENTS["eval_given_turns"] = "SELECT conv_id, count(*) AS given_turns FROM conversations GROUP BY conv_id"
 STATEMENTS["eval_answer_variants"] = compose(["facts"], f"""
 SELECT conv_id, fact_id, {S.join_list(distinct_in_order("[value, string_split(value, ' ')[1]]"))} AS variants
 FROM facts WHERE value <> ''""")

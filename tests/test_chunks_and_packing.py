@@ -35,10 +35,21 @@ def brute(rows, k, threshold):
     return [c for c, _ in kept]
 
 
-@pytest.mark.parametrize("fold", [64, 3])
-def test_top_k_equals_brute_force(spark, monkeypatch, fold):
-    """Few folded rows force the rounds; copies and near copies crowd the front."""
-    monkeypatch.setattr(C, "FOLD_ROWS", fold)
+def test_running_total_keeps_rows_without_key_or_order(spark):
+    rows = spark.createDataFrame([("k", 1, 2), ("k", None, 3), (None, 1, 5)], "k string, i int, v int")
+    got = {(r.k, r.i): r.s for r in running_total(rows, ["k"], "i", F.col("v"), "s").collect()}
+    assert got == {("k", None): 3, ("k", 1): 5, (None, 1): 5}
+
+
+def test_a_copy_that_the_guard_empties_does_not_hide_a_usable_one(spark):
+    rows = [("q", f"chunk-{i}", i, "user", t, k, s) for i, (t, k, s) in enumerate(
+        [("<system>", ["system"], 1.0), ("system", ["system"], 1.0), ("other words here", ["other", "word"], 0.0)])]
+    frame = spark.createDataFrame(rows, "q string, chunk_id string, turn int, role string, text string, tokens array<string>, lexical double")
+    assert [r.chunk_id for r in C.greedy_top_k(frame, ["q"], 6, 0.88).orderBy("rank").collect()] == ["chunk-1", "chunk-2"]
+
+
+def test_top_k_equals_brute_force(spark):
+    """Copies and near copies crowd the front."""
     rng = random.Random(3)
     rows = []
     for i in range(60):

@@ -14,8 +14,6 @@ from turnloom.session import cut_lineage
 CHUNK_CHARS = 400
 GUARD_CHARS = 1200
 NEAR_DUPLICATE = 0.88
-# Ranked rows folded in memory per group; groups that need more go through rounds.
-FOLD_ROWS = 64
 
 
 def pack_sentences(text: str, limit: int = CHUNK_CHARS) -> Column:
@@ -44,11 +42,6 @@ def chunk_history(messages: DataFrame, keys: list[str], order: str = "pos",
         "turn", "role", "text", "tokens")
 
 
-def _guarded(frame: DataFrame) -> DataFrame:
-    """Flag what the guard would leave empty; the guard itself runs on the picks only."""
-    return frame.withColumn("_usable", F.expr(G.survives_guard_sql("text")))
-
-
 def retrieve_chunks(chunks: DataFrame, questions: DataFrame, keys: list[str], top_k: int = 6,
                     min_score: float = 0.0, threshold: float = NEAR_DUPLICATE) -> DataFrame:
     """The top-k chunks per group, most relevant first, skipping restatements."""
@@ -60,63 +53,24 @@ def retrieve_chunks(chunks: DataFrame, questions: DataFrame, keys: list[str], to
 def greedy_top_k(scored: DataFrame, keys: list[str], top_k: int, threshold: float) -> DataFrame:
     """Walk each group by (score desc, turn, chunk id), keeping what nothing kept resembles.
 
-    Chunks with one token set always fall together, so only the first of each set is
-    carried past the partial aggregation; a group of mostly copies shrinks before the
-    shuffle. The first FOLD_ROWS sets of a group are folded in one row. Groups still short
-    of ``top_k`` with sets left over are finished by rounds of "best remaining, then drop
-    what resembles it", each round a grouped minimum and a join.
+    Chunks that the guard would empty are out from the start. Of the rest, those with one token set always fall
+    together, so only the first of each set is carried past the partial aggregation; a group of mostly
+    copies shrinks before the shuffle. Then ``top_k`` rounds of "best remaining, then drop what resembles it", each
+    a grouped minimum and a join with one row per group, so groups of every size go the same way.
     """
     rank = F.struct((-F.round("lexical", RANK_PLACES)).alias("neg"), "turn", "chunk_id")
     body = F.struct("role", "text", "lexical", F.array_distinct("tokens").alias("tokens"))
-    same = F.array_join(F.sort_array(F.array_distinct("tokens")), " ") if threshold > 0 else F.col("chunk_id")
-    best = (
-        scored.select(*keys, rank.alias("r"), body.alias("b"), same.alias("_set"))
+    same = F.sha2(F.array_join(F.sort_array(F.array_distinct("tokens")), " "), 256) if threshold > 0 else F.col("chunk_id")
+    usable = scored.where(F.expr(G.survives_guard_sql("text")))
+    pool = cut_lineage(
+        usable.select(*keys, rank.alias("r"), body.alias("b"), same.alias("_set"))
         .groupBy(*keys, "_set").agg(F.min(F.struct("r", "b")).alias("c"))
-        .select(*keys, "c.r", "c.b"))
-    order = Window.partitionBy(*keys).orderBy("r")
-    first = best.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= FOLD_ROWS + 1)
-    flat = _guarded(first.select(*keys, "r", "_rn", "b.*"))
-    row = F.struct("r", "_rn", "role", "lexical", "tokens", "_usable", "text")
-    folded = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    kind = first.sparkSession.createDataFrame([], folded.schema).schema["rows"].dataType
-    resembles = lambda a, b: X.jaccard(a["tokens"], b["tokens"]) >= threshold
-    kept = F.aggregate(
-        F.slice("rows", 1, FOLD_ROWS), F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) < top_k) & x["_usable"]
-            & ~F.exists(acc, lambda k: resembles(k, x) & F.lit(threshold > 0)),
-            F.concat(acc, F.array(x))).otherwise(acc))
-    short = (F.size(kept) < top_k) & (F.size("rows") > FOLD_ROWS)
-    # Written once: the answer of nearly every group, and the check for groups that need more.
-    folded = cut_lineage(folded.select(*keys, kept.alias("kept"), short.alias("_short")))
-    picks = _picks(folded.where("NOT _short"), keys)
-    rest = folded.where("_short").select(*keys)
-    if rest.isEmpty():
-        return picks
-    return picks.unionByName(rounds(best.join(rest, keys, "left_semi"), keys, top_k, threshold))
-
-
-def _picks(folded: DataFrame, keys: list[str]) -> DataFrame:
-    rows = folded.select(*keys, F.posexplode("kept").alias("_i", "k")).select(
-        *keys, (F.col("_i") + 1).alias("rank"), F.col("k.r.chunk_id").alias("chunk_id"),
-        F.col("k.r.turn").alias("turn"), F.col("k.role").alias("role"),
-        F.col("k.lexical").alias("score"), F.col("k.text").alias("_text"))
-    return G.neutralize(rows, "_text", GUARD_CHARS).select(
-        *keys, "rank", "chunk_id", "turn", "role", "score", F.col("_g.text").alias("text"),
-        F.col("_g.suspicious").alias("suspicious"), F.col("_g.families").alias("families"),
-        F.col("_g.neutralized").alias("neutralized"))
-
-
-def rounds(pool: DataFrame, keys: list[str], top_k: int, threshold: float) -> DataFrame:
-    """Exact greedy selection of ``top_k`` per group from any number of candidates."""
-    pool = cut_lineage(_guarded(pool.select(*keys, "r", "b.*")).where("_usable"))
+        .select(*keys, "c.r", "c.b.*"))
     found = None
     for number in range(1, top_k + 1):
         best = pool.groupBy(*keys).agg(F.min_by(
             F.struct("r", "role", "lexical", "tokens", "text"), "r").alias("k"))
-        best = cut_lineage(best)
-        rows = best.select(*keys, F.array("k").alias("kept"))
-        rows = _picks(rows, keys).withColumn("rank", F.lit(number))
+        rows = _picks(best, keys).withColumn("rank", F.lit(number))
         found = rows if found is None else found.unionByName(rows)
         if number == top_k:
             break
@@ -126,3 +80,13 @@ def rounds(pool: DataFrame, keys: list[str], top_k: int, threshold: float) -> Da
             pool.join(best, keys).where(~same & ~(alike & F.lit(threshold > 0)))
             .select(*pool.columns))
     return found
+
+
+def _picks(best: DataFrame, keys: list[str]) -> DataFrame:
+    rows = best.select(
+        *keys, F.col("k.r.chunk_id").alias("chunk_id"), F.col("k.r.turn").alias("turn"),
+        F.col("k.role").alias("role"), F.col("k.lexical").alias("score"), F.col("k.text").alias("_text"))
+    return G.neutralize(rows, "_text", GUARD_CHARS).select(
+        *keys, "chunk_id", "turn", "role", "score", F.col("_g.text").alias("text"),
+        F.col("_g.suspicious").alias("suspicious"), F.col("_g.families").alias("families"),
+        F.col("_g.neutralized").alias("neutralized"))

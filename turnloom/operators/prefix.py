@@ -23,26 +23,31 @@ def running_total(
     descending: bool = False,
     span: int = SPAN,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` along the integer column ``order``."""
+    """Inclusive running sum of ``value`` along the integer column ``order``.
+
+    NULL keys form a group of their own; rows without an order come first (last if descending).
+    """
     span_id = F.floor(F.col(order) / span).cast("long")
     if descending:
         span_id = -span_id
     tagged = frame.withColumn("_span", span_id).withColumn("_value", value)
     totals = tagged.groupBy(*keys, "_span").agg(F.sum("_value").alias("_total"))
-    ahead = Window.partitionBy(*keys).orderBy("_span").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    first = F.col("_span").asc_nulls_last() if descending else F.col("_span").asc_nulls_first()
+    ahead = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *keys, "_span", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead")
-    )
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"),
+        F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_ahead"))
+    same = F.col("_span").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     step = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*keys, "_span").orderBy(step, *(tie or [])).rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
-        tagged.join(totals, [*keys, "_span"])
+        tagged.join(totals, same)
         .withColumn(out, F.col("_ahead") + F.sum("_value").over(inside))
-        .drop("_span", "_value", "_ahead")
+        .drop("_span", "_value", "_ahead", "_s", *[f"_k{i}" for i in range(len(keys))])
     )
 
 

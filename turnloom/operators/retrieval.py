@@ -97,7 +97,9 @@ def recall(memories: DataFrame, questions: DataFrame, keys: list[str],
                             questions, keys, "memory_id")
     order = Window.partitionBy(*keys).orderBy(
         F.round("lexical", RANK_PLACES).desc(), "first_turn", "first_sentence")
-    top = scored.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < limit)
+    # The plain comparison lets the planner keep the best few of each task before the shuffle.
+    top = scored.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit)
+    top = top.withColumn("position", F.col("_place") - 1)
     return memories.join(top.select(
         *keys, "memory_id", "position", F.col("lexical").alias("recall_score")), [*keys, "memory_id"])
 

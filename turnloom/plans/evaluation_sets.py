@@ -39,6 +39,15 @@ def eval_transcript(spark, sf):
         F.col("session").cast("long").alias("session"))
 
 
+@query
+def eval_given_turns(spark, sf):
+    """Rows of the transcript that are given turns: all turns of the table, whatever their length."""
+    space = workspace(spark, sf)
+    counts = space.transcript.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return counts.join(space.tasks.select("conv_id", "n_facts"), "conv_id").select(
+        "conv_id", (F.col("n") - 2 * F.col("n_facts")).cast("long").alias("given_turns"))
+
+
 @query
 def eval_answer_variants(spark, sf):
     facts = evalset.exploded_facts(workspace(spark, sf).tasks).where("length(value) > 0")

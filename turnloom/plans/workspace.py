@@ -29,15 +29,6 @@ def utc_instants(frame: DataFrame) -> DataFrame:
         c: F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(c))) for c in naive}) if naive else frame
 
 
-def spread_out(frame: DataFrame) -> DataFrame:
-    """Use every core when a table arrives in fewer splits than there are cores.
-
-    A cluster reading many files never takes this branch, so it adds no shuffle there.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 class Workspace:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -45,7 +36,7 @@ class Workspace:
         self._stages = f"{shared_folder(spark)}/stages-{self.tag}"
 
     def table(self, name: str) -> DataFrame:
-        return spread_out(utc_instants(self.spark.read.parquet(f"{self.folder}/{name}.parquet")))
+        return utc_instants(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write a stage once to the shared folder and read it back.

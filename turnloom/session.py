@@ -15,6 +15,8 @@ def local_session(cpus: str | int | None = None, app: str = "turnloom") -> Spark
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.maxPartitionBytes", "4m")  # small tables still use all cores
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,14 +31,24 @@ def local_session(cpus: str | int | None = None, app: str = "turnloom") -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a scratch one only where none is set, as in tests."""
+    """The folder the cluster names; a scratch one only in local mode where none is set, as in tests.
+
+    Off local mode a folder of one machine is of no use to the others, so a missing setting is an error there.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnloom-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """One process, one machine: local, local[n] or local[n, m]; not local-cluster."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame once to the checkpoint folder and read on from there."""
     shared_folder(frame.sparkSession)
