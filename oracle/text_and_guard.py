@@ -19,11 +19,17 @@ T["text_tokens"] = f"""SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS
 T["text_all_words"] = f"""SELECT doc_id, len(t) AS words, md5(array_to_string(t, ' ')) AS digest
 FROM (SELECT doc_id, {S.words(S.norm('text'))} AS t FROM documents)"""
 T["text_jaccard"] = f"""SELECT doc_id, round_even({S.jac('a', 'b')}, 6) AS jaccard
-FROM (SELECT doc_id, doc_id % 40 AS item_id, {S.toks('text')} AS a FROM documents) JOIN (SELECT item_id, {S.toks('text')} AS b FROM benchmark) USING (item_id)"""
+FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, {S.toks('text')} AS a FROM documents) JOIN (SELECT item_id, {S.toks('text')} AS b FROM benchmark) USING (item_id)"""
 T["text_sentences"] = f"""SELECT doc_id, len(s) AS sentences, md5(array_to_string(s, '|')) AS digest
 FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents)"""
-T["text_discourse"] = """SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN 'hey We moved. x' ELSE 'We moved. x' END AS stripped,
- doc_id % 6 IN (0, 3) AS correction FROM documents"""
+# Fixed values, restated.
+_LEADS = ["Actually, also, ", "By the way: ", "Note ", "As of May 3, now, ", "", "Update: well, so, hey "]
+_CORRECTIONS = [
+    "actually", "correction", "correct that", "instead of", "no longer", "not anymore", "changed to", "change to", "switched to",
+    "migrated to", "moved to", "upgraded to", "now uses", "now use", "as of", "replaced", "superseded", "was wrong", "my mistake"]
+T["text_discourse"] = f"""SELECT doc_id, md5(CASE doc_id % 6 WHEN 4 THEN text WHEN 5 THEN 'hey ' || bare ELSE bare END) AS stripped,
+ {S.any_phrase('n', _CORRECTIONS)} AS correction
+FROM (SELECT doc_id, text, regexp_replace(text, '[ ,;:]+$', '') AS bare, {S.norm(f"({pick(_LEADS, 'doc_id % 6')} || text)")} AS n FROM documents)"""
 T["text_preview"] = f"SELECT doc_id, {S.preview('text')} AS preview FROM documents"
 T["text_timestamps"] = """SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN epoch(date_trunc('second', ts))::BIGINT - 7200
  ELSE epoch(date_trunc('second', ts))::BIGINT END AS epoch FROM events"""
@@ -78,8 +84,8 @@ for _s in sorted(P.SECRETS, key=lambda s: (-len(s), s)):
     _hits.append(f"(length({_red}) - length(replace({_red}, '{_s}', ''))) / {len(_s)}")
     _red = f"replace({_red}, '{_s}', '[redacted]')"
 T["guard_redaction"] = f"SELECT doc_id, CAST({' + '.join(_hits)} AS BIGINT) AS hits, md5({_red}) AS digest FROM {_BODY}"
-T["guard_pattern_redaction"] = f"""SELECT doc_id, right(regexp_replace(regexp_replace(regexp_replace(body, {rx(G.BEARER)}, '\\1[redacted]', 'g'),
- {rx(G.KEY_VALUE)}, '\\1[redacted]', 'g'), {rx(G.SHORT_KEY)}, '[redacted]', 'g'), 40) AS tail FROM {_LEAKY}"""
+T["guard_pattern_redaction"] = f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(body, {rx(G.BEARER)}, '\\1[redacted]', 'g'),
+ {rx(G.KEY_VALUE)}, '\\1[redacted]', 'g'), {rx(G.SHORT_KEY)}, '[redacted]', 'g')) AS digest FROM {_LEAKY}"""
 T["guard_secret_fields"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE 'k|note' END AS keys FROM events"
 T["guard_history_roles"] = """SELECT conv_id, count(*) FILTER (WHERE lower(role) NOT IN ('assistant')) AS as_user,
  count(*) FILTER (WHERE lower(role) IN ('system', 'tool', 'developer', 'function')) AS downgraded FROM conversations GROUP BY conv_id"""
@@ -118,7 +124,8 @@ _KNOWN = [P._KEY, "-----BEGIN RSA"]
 T["scan_known_secrets"] = " UNION ALL ".join(
     f"SELECT doc_id, 'known_secret' AS category, {mask(S.quote(k))} AS preview FROM {_LEAKY} WHERE contains(body, {S.quote(k)})" for k in _KNOWN)
 T["scan_json_fields"] = """SELECT event_id, 'api_key' AS name, '$.config.api_key' AS pointer, 'val…[12 chars]' AS preview FROM events WHERE event_id % 4 = 0
-UNION ALL SELECT event_id, 'client_secret', '$.Client-Secret', '[3 chars]' FROM events WHERE event_id % 4 = 2"""
+UNION ALL SELECT event_id, 'client_secret', '$.Client-Secret', '[3 chars]' FROM events WHERE event_id % 4 = 2
+UNION ALL SELECT event_id, 'key_value_assignment', '@' || (strlen(props) + 10), 'api…[28 chars]' FROM events WHERE event_id % 4 = 3"""
 T["scan_report"] = f"""SELECT count(*) AS files_scanned, CAST(sum(strlen(body)) AS BIGINT) AS bytes_scanned, 0::BIGINT AS files_skipped,
  (SELECT count(*) FROM {SCAN}) AS finding_count, (SELECT count(*) FROM {SCAN}) = 0 AS clean FROM {_LEAKY}"""
 T["scan_quarantine"] = f"SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM {SCAN}) THEN 'held' ELSE 'published' END AS fate FROM documents"

@@ -50,6 +50,8 @@ def test_scan_json(spark):
     rows = spark.createDataFrame([(1, '{"token": null}'), (2, '{"token":"x"}'), (3, '{"a":[{"Api-Key":"123456789"}]}')], "i int, t string")
     got = {r.i: (r.pointer, r.preview) for r in CR.scan_json_fields(rows, ["i"], "t").collect()}
     assert got == {2: ("$.token", "[1 chars]"), 3: ("$.a[0].Api-Key", "123…[9 chars]")}
+    rows = spark.createDataFrame([(1, '{"token":"abc"} trailing sk-' + "a1B2c3D4e5F6g7H8")], "i int, t string")
+    assert [(r.name, r.pointer) for r in CR.scan_json_fields(rows, ["i"], "t").collect()] == [("openai_key", "@25")]
 
 
 def test_run_budget_stops_at_the_request_ceiling(spark):

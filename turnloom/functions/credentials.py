@@ -93,7 +93,10 @@ def known_secrets(frame: DataFrame, keys: list[str], text: str, secrets: list[st
 
 
 def scan_json_fields(frame: DataFrame, keys: list[str], json_column: str) -> DataFrame:
-    """(keys, name, pointer, preview) per secret-named field that holds a value, at any depth."""
+    """(keys, name, pointer, preview) per secret-named field that holds a value, at any depth.
+
+    Text that is no JSON is scanned as it stands: then name is the category and pointer ``@`` with the byte offset.
+    """
     import json
 
     names, empty = frozenset(G.SECRET_FIELDS), EMPTY_VALUES
@@ -120,14 +123,19 @@ def scan_json_fields(frame: DataFrame, keys: list[str], json_column: str) -> Dat
                 found = []
                 try:
                     walk(json.loads(record[-1]), "$", found)
-                except (TypeError, ValueError):
+                except ValueError:
+                    found.append((None, None, record[-1]))
+                except TypeError:
                     continue
                 rows.extend((*record[:-1], *f) for f in found)
             yield pd.DataFrame(rows, columns=[*pdf.columns[:-1], "name", "pointer", "preview"])
 
     source = frame.select(*keys, json_column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInPandas(batches, f"{schema}, name string, pointer string, preview string")
+    walked = source.mapInPandas(batches, f"{schema}, name string, pointer string, preview string")
+    raw = scan_text(walked.where("name IS NULL"), keys, "preview")
+    return walked.where("name IS NOT NULL").unionByName(raw.select(
+        *keys, F.col("category").alias("name"), F.concat(F.lit("@"), F.col("offset").cast("string")).alias("pointer"), "preview"))
 
 
 def scan_report(files: DataFrame, findings: DataFrame, path: str, size: str) -> DataFrame:

@@ -76,9 +76,10 @@ def text_all_words(spark, sf):
 
 @query
 def text_jaccard(spark, sf):
-    """Token overlap of every labelled document with the benchmark item of its remainder."""
+    """Token overlap of every document with the benchmark item of its remainder, over all items."""
     space = workspace(spark, sf)
-    docs = space.table("documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), X.token_set("text").alias("a"))
+    count = space.table("benchmark").count()
+    docs = space.table("documents").select("doc_id", (F.col("doc_id") % count).alias("item_id"), X.token_set("text").alias("a"))
     items = space.table("benchmark").select("item_id", X.token_set("text").alias("b"))
     return docs.join(items, "item_id").select("doc_id", F.bround(X.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
@@ -94,8 +95,8 @@ def text_discourse(spark, sf):
     lead = F.element_at(F.array(*[F.lit(v) for v in (
         "Actually, also, ", "By the way: ", "Note ", "As of May 3, now, ", "", "Update: well, so, hey ")]),
         (F.col("doc_id") % 6 + 1).cast("int"))
-    rows = _documents(spark, sf).select("doc_id", F.concat(lead, F.lit("We moved. "), F.lit("x")).alias("s"))
-    return rows.select("doc_id", X.strip_discourse_markers("s").alias("stripped"),
+    rows = _documents(spark, sf).select("doc_id", F.concat(lead, "text").alias("s"))
+    return rows.select("doc_id", F.md5(X.strip_discourse_markers("s")).alias("stripped"),
                        X.has_correction_marker("s").alias("correction"))
 
 
@@ -178,7 +179,7 @@ def guard_redaction(spark, sf):
 @query
 def guard_pattern_redaction(spark, sf):
     rows = leaky_documents(spark, sf)
-    return rows.select("doc_id", F.right(G.redact_patterns("body"), F.lit(40)).alias("tail"))
+    return rows.select("doc_id", F.md5(G.redact_patterns("body")).alias("digest"))
 
 
 @query
@@ -221,9 +222,11 @@ def guard_finding_totals(spark, sf):
     found = guard_findings(spark, sf)
     names = ["category", "action", "route", "stage", "family"]
     sets = [[F.col(c)] for c in names] + [[]]
-    return found.groupingSets(sets, *[F.col(c) for c in names]).agg(F.sum("n").alias("n")).select(
-        F.coalesce(*names, F.lit("total")).alias("value"), F.expr(
-            "CASE " + " ".join(f"WHEN {c} IS NOT NULL THEN '{c}'" for c in names) + " ELSE 'total' END").alias("field"), "n")
+    marks = [F.grouping(c).alias(f"g_{c}") for c in names]
+    totals = found.groupingSets(sets, *[F.col(c) for c in names]).agg(F.sum("n").alias("n"), *marks)
+    field = "CASE " + " ".join(f"WHEN g_{c} = 0 THEN '{c}'" for c in names) + " ELSE 'total' END"
+    value = "CASE " + " ".join(f"WHEN g_{c} = 0 THEN {c}" for c in names) + " ELSE 'total' END"
+    return totals.select(F.expr(value).alias("value"), F.expr(field).alias("field"), "n")
 
 
 @query
@@ -233,9 +236,9 @@ def scan_findings(spark, sf):
 
 @query
 def guard_previews(spark, sf):
-    """Previews of the end of every document, with credentials masked before clipping."""
-    tail = leaky_documents(spark, sf).select("doc_id", F.right("body", F.lit(120)).alias("tail"))
-    return CR.clip_previews(tail, "tail", "preview").select("doc_id", "preview")
+    """Previews of every whole document, with credentials masked before clipping; the credential comes first."""
+    body = leaky_documents(spark, sf).select("doc_id", F.concat(F.substring_index("body", "\n", -1), F.lit(" "), "body").alias("body"))
+    return CR.clip_previews(body, "body", "preview").select("doc_id", "preview")
 
 
 @query
@@ -245,11 +248,12 @@ def scan_known_secrets(spark, sf):
 
 @query
 def scan_json_fields(spark, sf):
-    """Secret-named fields with a value anywhere in nested properties."""
+    """Secret-named fields with a value anywhere in nested properties; a quarter of the bodies is no JSON and is scanned as text."""
     events = workspace(spark, sf).table("events")
     shapes = [", \"config\": {\"api_key\": \"value-nine-9\"}", ", \"list\": [{\"token\": null}, {\"Pass-Word\": \"x\"}]",
               ", \"secret\": \"none\", \"Client-Secret\": \"abc\"", ""]
     body = F.concat(F.expr("left(props, length(props) - 1)"), evalset.pick(shapes, F.col("event_id") % 4), F.lit("}"))
+    body = F.when(F.col("event_id") % 4 == 3, F.concat("props", F.lit(" trailing api_key=" + _KEY))).otherwise(body)
     return CR.scan_json_fields(events.select("event_id", body.alias("body")), ["event_id"], "body")
 
 
