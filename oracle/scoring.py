@@ -133,7 +133,7 @@ def rate(n: str, d: str) -> str:
 
 
 def mean(v: str) -> str:
-    return f"round_even(coalesce(avg({v}), 0), 6)"
+    return f"round_even(coalesce(avg({v}), 0) + 1e-10, 6)"
 
 
 _G = "verdict <> 'ungraded'"
@@ -184,7 +184,7 @@ def t_crit(df: str) -> str:
 
 
 def summary(keys: str) -> str:
-    return f"""SELECT {keys}, n, round_even(m, 6) AS mean, round_even(s, 6) AS sd,
+    return f"""SELECT {keys}, n, round_even(m + 1e-10, 6) AS mean, round_even(s, 6) AS sd,
  round_even(m - CASE WHEN n > 1 THEN {t_crit('n - 1')} * s / sqrt(n) ELSE 0 END, 6) AS ci_low,
  round_even(m + CASE WHEN n > 1 THEN {t_crit('n - 1')} * s / sqrt(n) ELSE 0 END, 6) AS ci_high
 FROM (SELECT {keys}, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM long WHERE value IS NOT NULL GROUP BY ALL)"""
@@ -241,7 +241,7 @@ SELECT mode_a, mode_b, metric, n AS sample_size, round_even(ma, 6) AS mean_a, ro
  round_even(d, 4) AS cohens_d, round_even({hedges('d', 'n - 1')}, 4) AS hedges_g, {effect('d')} AS magnitude, wins, losses, ties,
  round_even(wins::DOUBLE / n, 4) AS win_rate,
  round_even(CASE WHEN wins + losses = 0 THEN 1 ELSE least(1e0, 2e0 * list_sum(list_transform(range(0, least(wins, losses) + 1),
-   lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2e0))))) END, 6) AS sign_test_p
+   lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2e0))))) END + 1e-10, 6) AS sign_test_p
 FROM (SELECT *, CASE WHEN sd > 0 THEN md / sd ELSE 0 END AS d, CASE WHEN n > 1 THEN {t_crit('n - 1')} * sd / sqrt(n) ELSE 0 END AS margin
  FROM (SELECT mode_a, mode_b, metric, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(a - b) AS md,
    CASE WHEN coalesce(stddev_samp(a - b), 0) < 1e-12 THEN 0 ELSE stddev_samp(a - b) END AS sd,

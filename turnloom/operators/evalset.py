@@ -31,7 +31,7 @@ PLANS = [
      "All bookings of Project {project} are kept in the {database} database.",
      "bookings of Project {project}", "{database}", "Project {project}|{database}", "", ""),
     ("single_hop", 2, "supporting", "repeated", 0.55,
-     "Should anybody ask about Project {project}, the bookings are in {database} as before.",
+     "As everybody in Project {project} knows, the bookings are in {database}.",
      "bookings of Project {project}", "{database}", "Project {project}|{database}", "", ""),
     ("multi_hop", 1, "required", "durable", 0.10,
      "Sensor readings of Project {project} are written to the {database} database.",

@@ -129,7 +129,7 @@ def difference_rows(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b
         F.bround("t", 4).alias("t_statistic"), six(p).alias("p_value"), F.bround("d", 4).alias("cohens_d"),
         F.bround(hedges(F.col("d"), F.col("df")), 4).alias("hedges_g"), effect_size(F.col("d")).alias("magnitude"),
         "wins", "losses", "ties", F.bround(F.col("wins") / F.col("n"), 4).alias("win_rate"),
-        six(F.expr(sign_test_sql("wins", "losses"))).alias("sign_test_p"))
+        six(F.expr(sign_test_sql("wins", "losses")) + 1e-10).alias("sign_test_p"))
 
 
 def paired_differences(scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -38,8 +38,8 @@ def rate(numerator: str, denominator: str) -> str:
 
 
 def mean(value: str) -> str:
-    """A mean that is 0 over nothing, rounded half-even to six places."""
-    return f"bround(coalesce(avg({value}), 0D), 6)"
+    """A mean that is 0 over nothing, to six places; a nudge settles ties, as sums have no fixed order."""
+    return f"bround(coalesce(avg({value}), 0D) + 1e-10D, 6)"
 
 
 GRADED = "verdict <> 'ungraded'"
@@ -124,7 +124,7 @@ def summarize(frame: DataFrame, keys: list[str], value: str, use_t: bool = False
     times = t_critical(F.col("n") - 1) if use_t else F.lit(Z_95_SHORT)
     margin = F.when(F.col("n") > 1, times * F.col("_s") / F.sqrt("n")).otherwise(0.0)
     return rows.select(
-        *keys, "n", F.bround("_m", 6).alias("mean"), F.bround("_s", 6).alias("sd"),
+        *keys, "n", F.bround(F.col("_m") + 1e-10, 6).alias("mean"), F.bround("_s", 6).alias("sd"),
         F.bround(F.col("_m") - margin, 6).alias("ci_low"), F.bround(F.col("_m") + margin, 6).alias("ci_high"))
 
 
