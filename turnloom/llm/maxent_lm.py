@@ -121,6 +121,40 @@ def vocabulary(counts: DataFrame, listed: int = LISTED) -> Vocabulary:
     return Vocabulary(words, n, classes, starts, np.log10((n + 1) / weight[classes]), tail, int(total), int(distinct))
 
 
+def number(documents: DataFrame, known: Vocabulary, rounds: int) -> DataFrame:
+    """(row, doc_id, held_out, slice, ids, unlisted) of every text: ids are ranks of listed words, else -1 - ending.
+
+    Written once, so that learning and scoring read numbers in place of texts.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(known.words)
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row, rank = TaskContext.get().partitionId() << 36, {w: i for i, w in enumerate(shared.value)}
+        for batch in batches:
+            cut = [tokens_of(t) for t in column(batch, "text").to_pylist()]
+            ends = np.cumsum([0, *map(len, cut)])
+            flat = [t for tokens in cut for t in tokens]
+            ids = np.fromiter(map(rank.get, flat, repeat(-1)), np.int32, len(flat))
+            other = np.flatnonzero(ids < 0)
+            unlisted = [flat[i] for i in other.tolist()]
+            endings = np.fromiter(map(ending_class, unlisted), np.int32, len(unlisted))
+            ids[other] = -1 - endings
+            parts = pa.StructArray.from_arrays([pa.array(unlisted, pa.binary()), pa.array(endings)], ["token", "ending"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(cut))), *[column(batch, c) for c in ("doc_id", "held_out", "slice")],
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(other, ends).astype(np.int32)), parts)],
+                ["row", "doc_id", "held_out", "slice", "ids", "unlisted"])
+            row += len(cut)
+
+    rows = documents.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), F.floor(crc / SPLIT % rounds).cast("int").alias("slice"), "text")
+    return keep(rows.mapInArrow(
+        run, "row bigint, doc_id bigint, held_out boolean, slice int, ids array<int>, unlisted array<struct<token: binary, ending: int>>"), "numbered")
+
+
 class Weights:
     """One row of CLASSES for each context feature (previous word, word before it, hashed pair), and for each
     of the two words rows of MODELLED weights that choose within the frequent classes."""
@@ -140,22 +174,22 @@ class Weights:
 class Model:
     def __init__(self, known: Vocabulary, weights: Weights):
         self.known, self.weights = known, weights
-        self.rank = {w: i for i, w in enumerate(known.words)}
         self.class_bias = np.log(known.class_weight() / known.class_weight().sum()).astype(np.float32)
         self.word_bias = np.log(known.counts[:MODELLED] + 1.0).astype(np.float32)
         self.base = known.base(known.counts)
-
-    def read(self, texts: list[str | None]) -> tuple:
-        """Ranks (-1: not listed), classes, lengths and the unlisted tokens of some texts, end to end."""
-        cut = [tokens_of(t) for t in texts]
-        lengths = np.array([len(c) for c in cut], np.int64)
-        flat = [t for c in cut for t in c]
-        ranks = np.fromiter(map(self.rank.get, flat, repeat(-1)), np.int64, len(flat))
-        other = np.flatnonzero(ranks < 0)
-        classes = self.known.classes[ranks] if len(self.known.classes) else np.zeros(len(flat), np.int64)
-        unlisted = [flat[i] for i in other.tolist()]
-        classes[other] = FREQUENT + ENDINGS + np.fromiter(map(ending_class, unlisted), np.int64, len(unlisted))
-        return ranks, classes, lengths, other, unlisted
+        # The columns of each frequent class by themselves, side by side in memory.
+        self.tables = [np.ascontiguousarray(weights.by_word[:, a:b]) for a, b in zip(known.starts, known.starts[1:])]
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranks (-1: not listed), classes and lengths of some numbered texts, end to end."""
+        lists = column(batch, "ids")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy()[ends[0]:ends[-1]].astype(np.int64)
+        other = ids < 0
+        classes = self.known.classes[ids] if len(self.known.classes) else np.zeros(len(ids), np.int64)
+        classes[other] = FREQUENT + ENDINGS - 1 - ids[other]
+        ids[other] = -1
+        return ids, classes, np.diff(ends)
 
     def contexts(self, ranks: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the class weights (three) and of the word weights (two) that the words before each token switch on."""
@@ -174,86 +208,105 @@ class Model:
         pair = ((one * ROWS + two) * np.int64(0x9E3779B97F4A7C1) >> np.int64(20)) % PAIRS
         return np.stack([one, ROWS + two, 2 * ROWS + pair]), np.stack([word_one, WORD_ROWS + word_two])
 
-    def class_scores(self, rows: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of every class."""
-        w = self.weights.by_class
-        logits = w[rows[0]] + w[rows[1]]
-        logits += w[rows[2]]
+    @staticmethod
+    def softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(logits), in place of them where that is safe, and its sum by row."""
+        if logits.size and logits.max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        chances = np.exp(logits)
+        return chances, chances.sum(1)
+
+    def class_logits(self, rows: np.ndarray) -> np.ndarray:
+        logits = np.take(self.weights.by_class, rows[0], axis=0)
+        logits += np.take(self.weights.by_class, rows[1], axis=0)
+        logits += np.take(self.weights.by_class, rows[2], axis=0)
         logits += self.class_bias
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
         return logits
 
-    def word_scores(self, rows: np.ndarray, first: int, last: int) -> np.ndarray:
-        """The same of the words of a frequent class."""
-        w = self.weights.by_word[:, first:last]
-        logits = w[rows[0]] + w[rows[1]]
-        logits += self.word_bias[first:last]
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+    def word_logits(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """Of the words of a frequent class."""
+        logits = np.take(self.tables[k], rows[0], axis=0)
+        logits += np.take(self.tables[k], rows[1], axis=0)
+        logits += self.word_bias[self.known.starts[k]:self.known.starts[k + 1]]
         return logits
 
     def frequent(self, classes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(tokens, first and last word) of each frequent class of two words or more."""
+        """(tokens, class, its first word) of each frequent class of two words or more."""
+        order = np.argsort(classes.astype(np.uint8), kind="stable")
+        ends = np.searchsorted(classes[order], np.arange(FREQUENT + 1))
         for k in range(FREQUENT):
             first, last = int(self.known.starts[k]), int(self.known.starts[k + 1])
-            if last - first > 1 and len(at := np.flatnonzero(classes == k)):
-                yield at, first, last
-
-    def score(self, texts: list[str | None]) -> tuple:
-        """Per text: tokens, listed tokens, base and model log10 probability without the unlisted tokens' share of their class;
-        and place, text and class of the unlisted tokens."""
-        ranks, classes, lengths, other, unlisted = self.read(texts)
-        owner = np.repeat(np.arange(len(texts)), lengths)
+            if last - first > 1 and ends[k + 1] > ends[k]:
+                yield order[ends[k]:ends[k + 1]], k, first
+
+    def score(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: tokens, listed tokens, base and model log10 probability without the unlisted tokens' share of their class."""
+        ranks, classes, lengths = self.read(batch)
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         logs = np.zeros(len(ranks))
         rows, word_rows = self.contexts(ranks, classes, lengths)
         for at in range(0, len(ranks), BATCH):
             part = slice(at, at + BATCH)
-            scores = self.class_scores(rows[:, part])
-            logs[part] = scores[np.arange(len(scores)), classes[part]] / math.log(10)
-            for some, first, last in self.frequent(classes[part]):
-                words = self.word_scores(word_rows[:, part][:, some], first, last)
-                logs[at + some] += words[np.arange(len(some)), ranks[part][some] - first] / math.log(10)
+            target, logits = classes[part], self.class_logits(rows[:, part])
+            _, total = self.softmax(logits)
+            logs[part] = (logits[np.arange(len(target)), target] - np.log(total)) / math.log(10)
+            for some, k, first in self.frequent(target):
+                logits = self.word_logits(np.take(word_rows[:, part], some, axis=1), k)
+                _, total = self.softmax(logits)
+                logs[at + some] += (logits[np.arange(len(some)), ranks[part][some] - first] - np.log(total)) / math.log(10)
         listed = ranks >= 0
         plain = listed & (classes >= FREQUENT)
         logs[plain] += self.known.within[ranks[plain]]
-        total = lambda values: np.bincount(owner, weights=values, minlength=len(texts))
+        total = lambda values: np.bincount(owner, weights=values, minlength=len(lengths))
         base = np.where(listed, self.base[ranks] if len(self.base) else 0.0, 0.0)
-        return lengths, total(listed).astype(np.int64), total(base), total(logs), owner[other], unlisted, classes[other] - FREQUENT - ENDINGS
+        return lengths, total(listed).astype(np.int64), total(base), total(logs)
 
-    def learn(self, texts: Iterator[list[str | None]]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    def learn(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, bytes]]:
         """Gradient steps over the texts; gives (block, width, uses of each row, change) of the blocks of rows that changed."""
         begun = [b.copy() for _, b in self.weights.blocks()]
         uses = [np.zeros(len(self.weights.by_class), np.int64), np.zeros(len(self.weights.by_word), np.int64)]
-        squares = [np.full_like(self.weights.by_class, 1e-3), np.full_like(self.weights.by_word, 1e-3)]
-
-        def step(which: int, table: np.ndarray, square: np.ndarray, rows: np.ndarray, slope: np.ndarray, columns=slice(None)) -> None:
-            order = np.argsort(rows, kind="stable")
-            sorted_rows = rows[order]
-            heads = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-            named = sorted_rows[heads]
-            sums = np.add.reduceat(slope[order], heads, axis=0) / np.float32(BATCH / 64)
-            uses[which][named] += np.diff(np.append(heads, len(rows)))
-            new = square[named, columns] + sums * sums
-            square[named, columns] = new
-            table[named, columns] -= np.float32(RATE) * sums / np.sqrt(new)
-
-        for some_texts in texts:
-            ranks, classes, lengths, _, _ = self.read(some_texts)
+        squares = [np.full_like(t, 1e-3) for t in (self.weights.by_class, *self.tables)]
+
+        places = np.zeros(max(len(self.weights.by_class), len(self.weights.by_word)), np.int64)
+
+        def step(which: int, table: np.ndarray, square: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> None:
+            """One step for rows of one feature each; every feature of a token has the token's slope."""
+            n, width = np.bincount(rows.ravel(), minlength=len(table)), slope.shape[1]
+            named = np.flatnonzero(n)
+            places[named] = np.arange(len(named)) * width
+            sums = np.zeros(len(named) * width, np.float32)
+            across = np.arange(width)
+            for feature in rows:
+                np.add.at(sums, (places[feature][:, None] + across).ravel(), slope.ravel())
+            sums = sums.reshape(-1, width) / np.float32(BATCH / 64)
+            uses[which][named] += n[named]
+            new = np.take(square, named, axis=0)
+            new += sums * sums
+            square[named] = new
+            sums *= np.float32(RATE)
+            sums /= np.sqrt(new)
+            table[named] -= sums
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ranks, classes, lengths = self.read(batch)
             rows, word_rows = self.contexts(ranks, classes, lengths)
             for at in range(0, len(ranks), BATCH):
                 part = slice(at, at + BATCH)
                 target, here = classes[part], rows[:, part]
-                slope = np.exp(self.class_scores(here))
+                slope, total = self.softmax(self.class_logits(here))
+                slope /= total[:, None]
                 slope[np.arange(len(slope)), target] -= 1
-                for feature in here:
-                    step(0, self.weights.by_class, squares[0], feature, slope)
-                for some, first, last in self.frequent(target):
-                    used = word_rows[:, part][:, some]
-                    slope = np.exp(self.word_scores(used, first, last))
+                step(0, self.weights.by_class, squares[0], here, slope)
+                for some, k, first in self.frequent(target):
+                    used = np.take(word_rows[:, part], some, axis=1)
+                    slope, total = self.softmax(self.word_logits(used, k))
+                    slope /= total[:, None]
                     slope[np.arange(len(some)), ranks[part][some] - first] -= 1
-                    for feature in used:
-                        step(1, self.weights.by_word, squares[1], feature, slope, slice(first, last))
+                    step(1, self.tables[k], squares[k + 1], used, slope)
+        for k, table in enumerate(self.tables):
+            self.weights.by_word[:, self.known.starts[k]:self.known.starts[k + 1]] = table
         used = np.concatenate(uses)
         for (block, now), before in zip(self.weights.blocks(), begun):
             n = used[block * BLOCK:(block + 1) * BLOCK]
@@ -285,23 +338,24 @@ def _sum_changes(changes: DataFrame) -> DataFrame:
     return changes.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint, mean binary")
 
 
-def train(documents: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
+def train(numbered: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
     """Each round every task takes gradient steps over its share of a slice of the texts, from the same weights, and
     the changes of all tasks are averaged row by row; the slices together are all texts. The weights are 7 MB whatever the input."""
-    spark, weights = documents.sparkSession, Weights()
-    slices = F.floor(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) / SPLIT) % rounds
+    spark, weights = numbered.sparkSession, Weights()
+    learned = numbered.where("NOT held_out")
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((known, weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = Model(shared.value[0], Weights())
-            model.weights.by_class[:], model.weights.by_word[:] = shared.value[1].by_class, shared.value[1].by_word
-            found = model.learn(column(b, "text").to_pylist() for b in batches)
+            own = Weights()
+            own.by_class[:], own.by_word[:] = shared.value[1].by_class, shared.value[1].by_word
+            model = Model(shared.value[0], own)
+            found = model.learn(batches)
             for row in found:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                                                  ["block", "width", "uses", "change"])
 
-        changes = documents.where(slices == number).select("text").mapInArrow(run, "block bigint, width int, uses binary, change binary")
+        changes = learned.where(F.col("slice") == number).select("ids").mapInArrow(run, "block bigint, width int, uses binary, change binary")
         mean = {r.block: r["mean"] for r in _sum_changes(changes).collect()}
         for block, rows in weights.blocks():
             if block in mean:
@@ -309,30 +363,21 @@ def train(documents: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weig
     return weights
 
 
-def score(documents: DataFrame, counts: DataFrame, known: Vocabulary, weights: Weights) -> DataFrame:
+def score(numbered: DataFrame, counts: DataFrame, known: Vocabulary, weights: Weights) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((known, weights))
+    shared = numbered.sparkSession.sparkContext.broadcast((known, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, row = Model(*shared.value), TaskContext.get().partitionId() << 36
+        model = Model(*shared.value)
         for batch in batches:
-            n, listed, base, logs, owner, unlisted, endings = model.score(column(batch, "text").to_pylist())
-            ends = np.searchsorted(owner, np.arange(len(n) + 1))
-            parts = pa.StructArray.from_arrays([pa.array(unlisted, pa.binary()), pa.array(endings.astype(np.int32))], ["token", "ending"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(n))), column(batch, "doc_id"), column(batch, "held_out"), pa.array(n), pa.array(listed), pa.array(base), pa.array(logs),
-                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts)],
-                ["row", "doc_id", "held_out", "n_tokens", "listed", "base", "logs", "unlisted"])
-            row += len(n)
-
-    rows = documents.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "text").mapInArrow(
-        run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, listed bigint, base double, logs double, "
-             "unlisted array<struct<token: binary, ending: int>>")
-    rows = keep(rows, "scored")
-    rest = rows.select("row", F.explode("unlisted").alias("u")).select("row", "u.token", "u.ending")
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*[column(batch, c) for c in ("row", "doc_id", "held_out")], *map(pa.array, model.score(batch))],
+                    ["row", "doc_id", "held_out", "n_tokens", "listed", "base", "logs"])
+
+    rows = numbered.select("row", "doc_id", "held_out", "ids").mapInArrow(
+        run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, listed bigint, base double, logs double")
+    rest = numbered.select("row", F.explode("unlisted").alias("u")).select("row", "u.token", "u.ending")
     least = int(known.counts.min()) if len(known.counts) else None
     rare = counts if least is None else counts.where(F.col("n") < least)
     met = rest.join(rare, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -340,7 +385,7 @@ def score(documents: DataFrame, counts: DataFrame, known: Vocabulary, weights: W
     added = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("found"), F.sum(F.log10(F.col("n") + 1)).alias("logged"),
         F.count("*").alias("words"), F.sum(F.log10(weight)).alias("weights"))
-    joined = rows.drop("unlisted").join(added, "row", "left").na.fill(0, ["found", "logged", "words", "weights"])
+    joined = rows.join(added, "row", "left").na.fill(0, ["found", "logged", "words", "weights"])
     smooth = math.log10(known.total + known.distinct + 1)
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("listed") + F.col("found")).alias("n_known"), F.lit(known.total).cast("long").alias("train_tokens"),
@@ -363,4 +408,5 @@ def score_texts(documents: DataFrame) -> DataFrame:
     learned = texts.where(fold(F.col("doc_id")) != 2)
     counts = keep(count_words(learned), "counts")
     known = vocabulary(counts)
-    return score(texts, counts, known, train(learned, known))
+    numbered = number(texts, known, ROUNDS)
+    return score(numbered, counts, known, train(numbered, known))
