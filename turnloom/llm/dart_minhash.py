@@ -18,8 +18,6 @@ from turnloom.llm.url_filter import LANES, _block_and_bits, bloom_blocks
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 36, 6
 COORDINATES = BANDS * BAND_ROWS
-#: Signatures of 216 places whose texts reach 0.8 agree in 0.68 of them but for 5 pairs in a million.
-ROUGHLY = 0.68
 CHUNK = 1_000  # rows of a bucket that are compared with as many at a time
 CACHED = 400_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -137,16 +135,18 @@ def sign(documents: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, names) of (node, text): the sorted names of all units of weight."""
+    """(node, names, short) of (node, text): the sorted names of all units of weight, and their upper halves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sets = []
+            sets, short = [], []
             for text in column(batch, "text").to_pylist():
                 found = shingler.shingles(shingler.words(text))
-                sets.append(np.sort(columns_of(found, np.zeros(len(found), np.int64))[0]).tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(sets, pa.binary())], ["node", "names"])
-    return texts.mapInArrow(run, "node binary, names binary")
+                names = np.sort(columns_of(found, np.zeros(len(found), np.int64))[0])
+                sets.append(names.tobytes())
+                short.append((names >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(sets, pa.binary()), pa.array(short, pa.binary())], ["node", "names", "short"])
+    return texts.mapInArrow(run, "node binary, names binary, short binary")
 
 
 def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,40 +170,81 @@ def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def _near_in_buckets(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket from different components whose signatures agree in ROUGHLY of their places.
-
-    ``members``: (key, i, j, side, node, root, signature), sorted: side 0 rows against side 1 rows, or
-    among themselves where i = j.
+class _Postings:
+    """Which rows hold a name, to count what a text shares with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.n = values[order], owner[order], len(sets)
+
+    def shared(self, names: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(self.values, names, "left")
+        counts = np.searchsorted(self.values, names, "right") - first
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def _links_between(one: list[tuple], two: list[tuple], same: bool) -> list[tuple[bytes, bytes]]:
+    """Links (node, node) that join rows (node, root, short names) of different roots: for each join one, not all there are."""
+    sets = [np.frombuffer(r[2], np.uint32) for r in two]
+    sizes = np.array([len(x) for x in sets])
+    roots = {root: i for i, root in enumerate({r[1] for r in one} | {r[1] for r in two})}
+    parent = list(range(len(roots)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    of_two = np.array([roots[r[1]] for r in two])
+    most = int(np.bincount(of_two).argmax())
+    few = np.flatnonzero(of_two != most)
+    full, rest = _Postings(sets), _Postings([sets[i] for i in few])
+    links = []
+    for node, root, short in one:
+        root, names = roots[root], np.frombuffer(short, np.uint32)
+        if root == most and (same or not len(few)):
+            continue  # its pairs with other roots are met from their side
+        rows, postings = (few, rest) if root == most else (np.arange(len(two)), full)
+        both = postings.shared(names)
+        like = both / (len(names) + sizes[rows] - both)
+        near = np.flatnonzero((like >= SIMILAR - 1e-9) & (of_two[rows] != root))
+        for i in near[np.argsort(-like[near], kind="stable")]:
+            a, b = find(root), find(int(of_two[rows[i]]))
+            if a != b:
+                parent[a] = b
+                other = two[rows[i]][0]
+                links.append((min(node, other), max(node, other)))
+    return links
+
+
+def _links_in_buckets(members: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket, some of each join.
+
+    ``members``: (key, i, j, side, node, root, short), sorted: side 0 rows against side 1 rows, or
+    among themselves where i = j. Halves of names may agree by chance, so a link wants an exact check; none is missed.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            one = [r for r in rows if r[0] == 0]
-            two = one if current[1] == current[2] else [r for r in rows if r[0] == 1]
-            if not one or not two:
-                return
-            signed = [np.frombuffer(b"".join(r[3] for r in part), np.uint32).reshape(len(part), -1) for part in (one, two)]
-            roots = np.array([r[2] for r in two], object)
-            a, b = [], []
-            for at, row in enumerate(one):
-                agree = (signed[1] == signed[0][at]).sum(1) >= ROUGHLY * signed[0].shape[1]
-                for to in np.flatnonzero(agree):
-                    if roots[to] != row[2] and (current[1] != current[2] or to > at):
-                        a.append(min(row[1], two[to][1]))
-                        b.append(max(row[1], two[to][1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        current, rows = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            same = current[1] == current[2]
+            two = rows[0] if same else rows[1]
+            links = _links_between(rows[0], two, same) if rows[0] and two else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            for key, i, j, side, node, root, signature in zip(*[column(batch, c).to_pylist() for c in ("key", "i", "j", "side", "node", "root", "signature")]):
+            for key, i, j, side, node, root, short in zip(*[column(batch, c).to_pylist() for c in ("key", "i", "j", "side", "node", "root", "short")]):
                 if (key, i, j) != current:
-                    if rows:
-                        yield from done()
-                    current, rows = (key, i, j), []
-                rows.append((side, node, root, signature))
-        if rows:
-            yield from done()
+                    if current is not None:
+                        yield done()
+                    current, rows = (key, i, j), ([], [])
+                rows[side].append((node, root, short))
+        if current is not None:
+            yield done()
 
     return members.mapInArrow(run, "a binary, b binary")
 
@@ -237,19 +278,19 @@ def _links(documents: DataFrame, texts: DataFrame) -> DataFrame:
     sets = _candidate_sets(documents, texts.select("node", "raw").join(asked, "node"))
     edges = keep(_exact(pairs, sets), "links")
     roots = keep(components(edges), "roots")
-    # Then all pairs from different components that share a bucket, by their signatures and then exactly.
+    # Then what is left in different components of a bucket is compared in full, and one link of each join leaves the block.
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("key")
-    open_rows = rooted.join(mixed, "key").join(texts.select("node", "signature"), "node")
+    open_rows = rooted.join(mixed, "key").join(sets.select("node", "short"), "node")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     chunk = F.pmod(F.xxhash64("node"), chunks.cast("long")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), chunks - 1),
                         lambda c: F.struct(F.least(c, F.col("chunk")).alias("i"), F.greatest(c, F.col("chunk")).alias("j"),
                                            F.when(c >= F.col("chunk"), 0).otherwise(1).alias("side")))
-    dealt = open_rows.withColumn("chunk", chunk).select("key", "node", "root", "signature", F.explode(meets).alias("m"))
-    dealt = dealt.select("key", "m.i", "m.j", "m.side", "node", "root", "signature")
+    dealt = open_rows.withColumn("chunk", chunk).select("key", "node", "root", "short", F.explode(meets).alias("m"))
+    dealt = dealt.select("key", "m.i", "m.j", "m.side", "node", "root", "short")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
-    more = _near_in_buckets(dealt).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _links_in_buckets(dealt).distinct()
     found = keep(_exact(keep(more, "pairs"), sets), "links")
     return keep(components(edges.unionAll(found)), "roots")
 
@@ -263,26 +304,35 @@ def classes(documents: DataFrame) -> DataFrame:
     doc_id are rows of their own; NULL ids count only where a class has no other. An empty table gives an empty result.
 
     Bands of 6 of 216 coordinates find a pair of similarity 0.8 but for 2 in 100,000. A bucket is never expanded to all
-    pairs: each text is checked against one leader, and only texts left in different components are compared, by signature,
-    in blocks.
+    pairs: each text is checked against one leader, and only texts left in different components are compared, in blocks that
+    pass on one link of each join.
     """
+    return _classified(documents).select("doc_id", "class_id", "n_rows")
+
+
+def _classified(documents: DataFrame) -> DataFrame:
+    """The rows of ``classes`` with raw, and raw of the class's first row (least id, then least raw) as class_raw."""
     rows = keep(sign(documents.select("doc_id", "text")), "signed")
     worded = rows.where("node IS NOT NULL")
     texts = keep(worded.groupBy("node").agg(F.first("signature").alias("signature"), F.min("raw").alias("raw")), "texts")
     roots = _links(documents.select("text"), texts)
-    per_node = worded.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw")
+    per_node = worded.groupBy("node").agg(F.min(first).alias("least"), F.count("*").alias("n"))
     rooted = per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_class = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_rows"))
-    of_node = keep(rooted.join(per_class, "root").select("node", "class_id", "n_rows"), "classes")
-    own = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_rows"))
-    return worded.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "n_rows").unionAll(own)
+    per_class = rooted.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("n_rows"))
+    of_node = keep(rooted.join(per_class, "root").select(
+        "node", F.col("first.doc_id").alias("class_id"), F.col("first.raw").alias("class_raw"), "n_rows"), "classes")
+    columns = ["doc_id", "raw", "class_id", "class_raw", "n_rows"]
+    own = rows.where("node IS NULL").select("doc_id", "raw", F.col("doc_id").alias("class_id"), F.col("raw").alias("class_raw"), F.lit(1).cast("long").alias("n_rows"))
+    return worded.select("doc_id", "raw", "node").join(of_node, "node").select(*columns).unionAll(own)
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` whose id is their class's; of rows that repeat id and text, one."""
-    kept = classes(documents).where("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = keep(kept.select(F.col("doc_id").alias("_kept_id"), "_rows"), "kept")
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    """The first row of each class, by id and then by a hash of the text; of rows that repeat both, one."""
+    kept = _classified(documents).where("doc_id <=> class_id AND raw = class_raw").groupBy("doc_id", "raw").agg(F.count("*").alias("_rows"))
+    kept = keep(kept.select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"), "_rows"), "kept")
+    rows = documents.withColumn("_raw", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")))
     single = rows.where("_rows = 1").select(*documents.columns)
-    repeated = rows.where("_rows > 1 AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
-    return single.unionAll(repeated).unionAll(rows.where("_rows > 1 AND doc_id IS NULL").select(*documents.columns))
+    repeated = rows.where("_rows > 1").dropDuplicates(["_kept_id", "_raw"]).select(*documents.columns)
+    return single.unionAll(repeated)
