@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import column, keep, small_batches
 from turnloom.llm.vectors import TopK, matrix, packed, ranked_rows, unpack, usable
 
-K, TABLES, HASHES, WIDTH, PROBES = 20, 6, 3, 0.8, 56
+K, TABLES, HASHES, WIDTH, PROBES = 20, 5, 3, 1.0, 27
 BLOCK_ROWS, QUERY_ROWS = 512, 256
 RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 MARGIN = 1e-9
