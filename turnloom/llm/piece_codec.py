@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -175,6 +176,12 @@ class PieceModel:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def shared_model(path: str) -> PieceModel:
+    """One model for all tasks of a Python worker, with the units it has met."""
+    return PieceModel(path)
+
+
 def encode_and_decode(documents: DataFrame, model: str) -> DataFrame:
     """Replaces text by its piece ids: piece_ids, n_pieces and round_trip (the ids decode to the text).
 
@@ -190,7 +197,7 @@ def encode_and_decode(documents: DataFrame, model: str) -> DataFrame:
     schema += (", " if kept else "") + "piece_ids array<int>, n_pieces int, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(model)
+        pieces = shared_model(model)
         for batch in batches:
             texts = column(batch, "text").to_pylist()
             coded = pieces.encode(texts)

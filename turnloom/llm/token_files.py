@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,12 @@ class WordEncoder:
                 for words, found in zip(cut, ids)]
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, with the words it has met."""
+    return WordEncoder(path, end_id)
+
+
 class PlaneWriter:
     def __init__(self, stream):
         self.stream, self.place = stream, len(MAGIC)
@@ -220,7 +227,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
             if writer is None:
                 files.create_dir(root, recursive=True)
                 sink = files.open_output_stream(f"{root}/{name}")
-                writer, encode = PlaneWriter(sink), WordEncoder(tokenizer, end_id)
+                writer, encode = PlaneWriter(sink), shared_encoder(tokenizer, end_id)
             for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encode(column(batch, "text").to_pylist())):
                 writer.add(doc_id, ids)
         if writer is not None:
