@@ -156,6 +156,39 @@ def test_recall_of_the_approximate_search(spark):
     assert np.mean(recall) >= 0.9
 
 
+def searched(spark, x):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {i: [] for i in range(0, len(x), 20)}
+    for r in multiprobe.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def test_few_rows_are_all_met(spark):
+    x = np.random.default_rng(1).normal(size=(15, 64))
+    x[1:] = 0.3 * x[1:] - x[0]
+    got = searched(spark, x / np.sqrt((x * x).sum(1))[:, None])
+    assert sorted(got[0]) == list(range(1, 15))
+
+
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_recall_does_not_rest_on_one_norm(spark, norms):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if norms == "outlier":
+        x[7] *= 100
+    else:
+        x *= rng.lognormal(0, 0.5, (len(x), 1))
+    recall = []
+    for q, found in searched(spark, x).items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(set(found)) == 20 and q not in found
+        recall.append(len(set(found) & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9, np.mean(recall)
+
+
 def test_probes_come_in_order_of_their_distance():
     parts = np.array([0.1, 0.6, 0.45])
     cost = [sum((parts[i] if d < 0 else 1 - parts[i]) ** 2 for i, d in p) for p in multiprobe.perturbations(parts, 27)]
