@@ -95,3 +95,15 @@ def test_cap_drops_the_last(spark):
     got = decide(spark, [(f"m{i:02d}", f"Atlas MySQL {w}", 1, {}) for i, w in enumerate(words)])
     assert [k for k, r in got.items() if r.drop_reason == "cap"] == ["m12"]
     assert sorted(r.rank for r in got.values() if r.rank) == list(range(1, 13))
+
+
+def test_whole_texts_are_paired_and_repeats_used_up_in_order(spark, tmp_path):
+    from turnloom.plans.retrieval import memory_pairing_texts
+
+    texts = ["same beginning a", "same beginning b", "same beginning a", "same beginning a", None]
+    rows = [(i + 1, t, "en", "s", 15 + i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = {(-r.position, r.memory_id) for r in memory_pairing_texts(spark, str(tmp_path)).collect()}
+    assert got == {(4, "1"), (3, "3"), (1, "4"), (2, "2"), (5, None)}
+    assert {r.text for r in memory_pairing_texts(spark, str(tmp_path)).collect()} == set(texts)

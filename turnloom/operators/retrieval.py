@@ -17,6 +17,7 @@ from turnloom.functions import text as X
 from turnloom.operators.lexical import (
     COVERAGE_WEIGHT, ENTITY_BONUS, PHRASE_WEIGHT, RANK_PLACES, SIMILARITY_WEIGHT, clamp,
     lexical_scores, phrase_overlap)
+from turnloom.operators.prefix import running_index
 
 # Fixed values -----------------------------------------------------------------
 INACTIVE = ["superseded", "expired", "deleted", "quarantined", "archived", "tombstoned"]
@@ -469,11 +470,20 @@ def enrich(memories: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFra
 
 
 def pair_recalled(recalled: DataFrame, memories: DataFrame, keys: list[str]) -> DataFrame:
-    """Match recalled strings with stored records; equal texts are used up in order."""
-    nth = lambda frame, order: frame.withColumn(
-        "_n", F.row_number().over(Window.partitionBy(*keys, "text").orderBy(order)))
-    stored = nth(memories, "stored_at").select(*keys, "text", "_n", "memory_id")
-    return nth(recalled, "position").join(stored, [*keys, "text", "_n"], "left").drop("_n")
+    """Match recalled strings with stored records; equal texts are used up in order.
+
+    Whole texts are told apart by their SHA-256, and only the digests are numbered and paired. Repeats are numbered along
+    ``stored_at`` and ``position`` (integers) by split running totals, so a text with a third of all rows is many tasks.
+    """
+    by = [*keys, "_digest", "_n"]
+    said = recalled.withColumn("_digest", F.sha2("text", 256))
+    rest = [c for c in recalled.columns if c != "text"]
+    numbered = running_index(said.drop("text"), [*keys, "_digest"], "position", "_n")
+    stored = memories.select(*keys, "stored_at", "memory_id", F.sha2("text", 256).alias("_digest"))
+    stored = running_index(stored, [*keys, "_digest"], "stored_at", "_n").select(*by, "memory_id")
+    paired = numbered.join(stored, by, "left").select(*rest, "_digest", "memory_id")
+    texts = said.select("_digest", "text").dropDuplicates(["_digest"])
+    return paired.join(texts, "_digest", "left").select(*recalled.columns, "memory_id")
 
 
 def strip_for_ablation(rows: DataFrame) -> DataFrame:

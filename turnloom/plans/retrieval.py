@@ -108,6 +108,15 @@ def memory_pairing(spark, sf):
     return R.pair_recalled(recalled, stored, ["lang"]).select("lang", "position", "text", "memory_id")
 
 
+@query
+def memory_pairing_texts(spark, sf):
+    """Every whole document recalled and matched with the stored ones; repeated texts are used up in order."""
+    docs = workspace(spark, sf).table("documents")
+    stored = docs.select("lang", "text", F.col("doc_id").alias("stored_at"), F.col("doc_id").cast("string").alias("memory_id"))
+    recalled = docs.select("lang", "text", (-F.col("doc_id")).alias("position"))
+    return R.pair_recalled(recalled, stored, ["lang"]).select("lang", "position", "text", "memory_id")
+
+
 @query
 def recall_top(spark, sf):
     return workspace(spark, sf).recalled.select(
