@@ -128,6 +128,12 @@ WITH marks AS (SELECT item_id, {S.answer("regexp_split_to_array(text, '[.] *')[1
 SELECT item_id, doc_id FROM marks JOIN docs ON contains(body, ' ' || mark || ' ') WHERE length(mark) > 40"""
 
 
+STATEMENTS["score_benchmark_passages"] = f"""
+WITH marks AS (SELECT DISTINCT item_id, {S.answer('sentence')} AS mark FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.] *')) AS sentence FROM benchmark)),
+ docs AS (SELECT doc_id, ' ' || {S.answer('text')} || ' ' AS body FROM documents)
+SELECT DISTINCT item_id, mark, doc_id FROM marks JOIN docs ON contains(body, ' ' || mark || ' ') WHERE length(mark) > 0"""
+
+
 def rate(n: str, d: str) -> str:
     return f"round_even(coalesce(count(*) FILTER (WHERE {n}) / nullif(count(*) FILTER (WHERE {d}), 0)::DOUBLE, 0), 6)"
 

@@ -107,3 +107,15 @@ def test_whole_texts_are_paired_and_repeats_used_up_in_order(spark, tmp_path):
     got = {(-r.position, r.memory_id) for r in memory_pairing_texts(spark, str(tmp_path)).collect()}
     assert got == {(4, "1"), (3, "3"), (1, "4"), (2, "2"), (5, None)}
     assert {r.text for r in memory_pairing_texts(spark, str(tmp_path)).collect()} == set(texts)
+
+
+def test_every_sentence_of_a_benchmark_item_is_a_marker(spark, tmp_path):
+    from turnloom.plans.scoring import score_benchmark_passages
+
+    spark.createDataFrame([(1, "Short one. A later sentence of some eight words here. Short one."), (2, "Alone"), (3, None)],
+                          "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x short, ONE y"), (2, "shortone alone"), (3, "so a later sentence of some eight words here, yes"),
+                           (4, "a later sentence of some nine words here"), (5, None), (6, "")],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, score_benchmark_passages(spark, str(tmp_path)).collect()))
+    assert got == [(1, "a later sentence of some eight words here", 3), (1, "short one", 1), (2, "alone", 2)]

@@ -181,6 +181,32 @@ def score_benchmark_markers(spark, sf):
     return hits.join(docs, "doc_id").where(X.contains_normalized_sql("body", "mark")).select("item_id", "doc_id")
 
 
+OPENING = 5
+
+
+@query
+def score_benchmark_passages(spark, sf):
+    """Every sentence of every benchmark item looked up in every document, whole words only."""
+    space = workspace(spark, sf)
+    sentences = space.table("benchmark").select("item_id", F.explode(F.split("text", "[.] *")).alias("sentence"))
+    items = sentences.select("item_id", X.normalize_answer("sentence").alias("mark")).where("length(mark) > 0").distinct()
+    words = lambda c: F.split(c, " ")
+    # The first words of a mark, all if it is short, are the equi-join key; a longer mark is verified after it.
+    marks = items.select("mark").distinct().select(
+        "mark", F.array_join(F.slice(words("mark"), 1, OPENING), " ").alias("opening"),
+        (F.size(words("mark")) > OPENING).alias("long"))
+    docs = space.table("documents").select("doc_id", X.normalize_answer("text").alias("body"))
+    split = docs.select("doc_id", words("body").alias("words"))
+    opening = split.select("doc_id", F.explode(F.expr(
+        f"array_distinct(flatten(transform(sequence(1, {OPENING}), n -> transform("
+        "filter(sequence(1, size(words)), i -> i + n - 1 <= size(words)), i -> array_join(slice(words, i, n), ' ')))))"))
+        .alias("opening"))
+    hits = opening.join(marks, "opening").select("mark", "doc_id", "long").distinct()
+    longer = hits.where("long").join(docs, "doc_id").where(X.contains_normalized_sql("body", "mark"))
+    found = hits.where("NOT long").select("mark", "doc_id").unionByName(longer.select("mark", "doc_id")).distinct()
+    return found.join(items, "mark").select("item_id", "mark", "doc_id")
+
+
 SETS = [[], ["mode", "trial"], ["mode", "trial", "category"], ["mode", "trial", "length_tier"], ["category"], ["mode"]]
 
 
