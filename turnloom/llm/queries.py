@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat_tree, dart_minhash, maxent_lm, mixing, multiprobe, piece_codec, pivot_topk, token_files, toxicity, url_filter
+from turnloom.llm import chat_tree, dart_minhash, maxent_lm, mixing, multiprobe, piece_codec, pivot_topk, source_audit, token_files, toxicity, url_filter
 
 QUERIES = {}
 
@@ -88,3 +88,8 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     listed = tracked.select(url_filter.canonical(url_filter.host_of("url"), url_filter.path_of("url")).alias("key"))
     judged = url_filter.filter_urls(pages, listed, RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.divergence(table(spark, folder, "documents"))

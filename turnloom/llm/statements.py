@@ -86,3 +86,36 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(safe) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+STATEMENTS["op13_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT row_id, lang, source, unnest(terms) AS term FROM docs),
+vocabulary AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN vocabulary USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang),
+totals AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+lang_totals AS (SELECT lang, sum(n)::BIGINT AS n FROM totals GROUP BY lang),
+shares AS (
+  SELECT g.lang, g.source, w.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 2)) // (g.n + 2 * s.v) AS p
+  FROM totals g JOIN vocabulary w USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = w.term),
+of_lang AS (
+  SELECT c.lang, c.term, 1 + (1000000000 * (sum(c.c)::BIGINT + 2)) // (any_value(l.n) + 2 * any_value(s.v)) AS q
+  FROM counts c JOIN lang_totals l USING (lang) JOIN sizes s USING (lang) GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+telling AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM shares s JOIN of_lang o USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM telling))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
