@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from turnloom.llm import source_audit
+from turnloom.llm import source_audit, tree_forest
 
 TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,3 +65,55 @@ def test_divergence_of_nothing(spark):
 def test_shares_are_exact_for_large_counts(spark, count, total, kept):
     row = spark.range(1).selectExpr(f"{count}L AS c", f"{total}L AS n", f"{kept}L AS v").select(source_audit._share("c", "n", "v").alias("p"))
     assert row.first().p == 1 + 10**9 * (count + 2) // (total + 2 * kept)
+
+
+def brute_links(vectors, similar=0.9):
+    ids = sorted(vectors)
+    values = np.array([np.pad(np.array(vectors[i], np.float64), (0, 12 - len(vectors[i]))) for i in ids])
+    norms = np.sqrt((values ** 2).sum(1))
+    linked = (values @ values.T) / np.outer(norms, norms) >= similar
+    np.fill_diagonal(linked, False)
+    root = {i: i for i in ids}
+    moved = True
+    while moved:
+        moved = False
+        for at, i in enumerate(ids):
+            least = min([root[i], *(root[ids[k]] for k in np.flatnonzero(linked[at]))])
+            moved, root[i] = moved or least != root[i], least
+    return {i: (int(linked[at].sum()), root[i]) for at, i in enumerate(ids)}
+
+
+def forest(spark, rows, **more):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, leaf long, n long, rep string")
+    got = tree_forest.near_duplicates(frame, **more).collect()
+    assert all(r.kept == (None if r.vec_id is None else r.vec_id == r.component_id) for r in got)
+    return got
+
+
+def test_forest_equals_brute_force_over_many_leaves(spark):
+    pick = np.random.default_rng(3)
+    centres = pick.standard_normal((60, 12))
+    plain = {int(7 * i): (centres[i % 60] + 0.22 * pick.standard_normal(12)).astype(np.float32).tolist() for i in range(700)}
+    plain |= {10_000 + i: [1.0] * 12 for i in range(300)} | {20_000 + i: [0.5, 2.0 + i] for i in range(5)}
+    rows = [(i, v, 0, 1, 1, "x") for i, v in plain.items()]
+    rows += [(i, v, 0, 1, 1, "x") for i, v in list(plain.items())[:40]]  # repeated rows
+    odd = {30_000: None, 30_001: [0.0] * 12, 30_002: [1.0, None], 30_003: [float("nan")] * 12, 30_004: [float("inf"), 1.0], 30_005: []}
+    rows += [(i, v, None, 1, 1, None) for i, v in odd.items()] + [(None, [1.0] * 12, 0, 1, 1, "x")] * 2
+    want = brute_links(plain)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest(spark, rows, leaf=60, sample=200) if r.vec_id is not None}
+    assert {i: got[i] for i in odd} == {i: (0, i) for i in odd} and set(got) == set(want) | set(odd)
+    found, there = sum(got[i][0] for i in want), sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want) and found >= 0.99 * there
+    assert sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_forest_counts_a_pair_once_and_splits_leaves_that_no_plane_splits(spark):
+    rows = [(i, [float(i + 1), float(i + 1)], 0, 1, 1, "x") for i in range(130)] + [(500, [1.0, -1.0], 0, 1, 1, "x")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in forest(spark, rows, leaf=20, trees=3)}
+    assert got == {i: (129, 0) for i in range(130)} | {500: (0, 500)}
+
+
+def test_forest_of_nothing_and_of_large_values(spark):
+    assert forest(spark, []) == []
+    rows = [(1, [3e38, 3e38], 0, 1, 1, "x"), (2, [1e-40, 1e-40], 0, 1, 1, "x"), (3, [3e38, -3e38], 0, 1, 1, "x")]
+    assert {(r.vec_id, r.n_links, r.component_id) for r in forest(spark, rows)} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
