@@ -1,5 +1,6 @@
 """Source audit, ranked lexical search, forest near-duplicates: edge cases and brute force."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from turnloom.llm import source_audit, tree_forest
+from turnloom.llm import dual_tree, source_audit, tree_forest
 
 TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,3 +118,70 @@ def test_forest_of_nothing_and_of_large_values(spark):
     assert forest(spark, []) == []
     rows = [(1, [3e38, 3e38], 0, 1, 1, "x"), (2, [1e-40, 1e-40], 0, 1, 1, "x"), (3, [3e38, -3e38], 0, 1, 1, "x")]
     assert {(r.vec_id, r.n_links, r.component_id) for r in forest(spark, rows)} == {(1, 1, 1), (2, 1, 1), (3, 0, 3)}
+
+
+WORD = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute_ranking(docs, items, top):
+    terms = lambda text: WORD.findall((text or "").translate(LOWER))
+    bags = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(bool(b) for _, b in bags), sum(sum(b.values()) for _, b in bags)
+    asked = defaultdict(set)
+    for item, text in items:
+        asked[item] |= set(terms(text))
+    df = Counter(t for _, b in bags for t in b)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, wanted in asked.items():
+        scores = []
+        for doc, bag in bags:
+            m = 100 - 50 + 50 * sum(bag.values()) * n_docs // max(1, n_terms)
+            score = sum(weight[t] * (10**9 * bag[t] // (1000 * bag[t] + 20 * m)) for t in wanted if t in bag)
+            if score > 0 and doc is not None:
+                scores.append((-score, doc))
+        out += [(item, r, d, -s) for r, (s, d) in enumerate(sorted(scores)[:top], 1)]
+    return sorted(out, key=str)
+
+
+def ranking(spark, rows, items, top=50, **more):
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, term string, n int")
+    asked = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, node int")
+    return sorted((tuple(r) for r in dual_tree.search(frame, asked, top, **more).collect()), key=str)
+
+
+def lexical_case(n):
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(400)] + ["É", "naïve", "x1"]
+    draw = lambda k: " ".join(pick.choices(words, weights=[1 / (i + 2) for i in range(len(words))], k=k))
+    docs = [(i, draw(pick.randint(0, 60))) for i in range(n)]
+    items = [(i, draw(12) + " absent") for i in range(23)]
+    docs += [(1000 + i, items[3][1] + " and More") for i in range(60)]  # ties beyond the last place
+    docs += [(5, "w7 w9"), (5, "w7 w9"), (None, items[0][1]), (9_000, None), (9_001, ""), (9_002, "W3 " * 40_000), (9_003, "-- ..")]
+    items += [(3, "w399 extra"), (None, "w5 w6"), (77, None), (78, "nowhere")]
+    return docs, items
+
+
+def test_ranking_equals_brute_force_with_ties_nulls_and_repeats(spark):
+    docs, items = lexical_case(500)
+    want = brute_ranking(docs, items, 50)
+    assert ranking(spark, docs, items) == want
+    # Many nodes, and items in several batches.
+    assert ranking(spark, docs, items, 7, docs=4, leaves=3, at_once=60) == brute_ranking(docs, items, 7)
+
+
+def test_ranking_of_nothing(spark):
+    assert ranking(spark, [], [(1, "a b")]) == [] and ranking(spark, [(1, "a b")], []) == []
+    assert ranking(spark, [(1, "a b")], [(1, None), (2, "c")]) == []
+
+
+def test_bounds_prune_whole_batches_of_items():
+    weights = np.arange(1, 401)
+    built = dual_tree.build_items(list(range(64)), [np.arange(6 * i, 6 * i + 6, dtype=np.int32) for i in range(64)], weights)
+    greatest = np.zeros(400)
+    greatest[built.of(40)[0]] = 1000
+    score = float((built.of(40)[1] * 1000).sum())
+    assert list(dual_tree.surviving(built, np.full(64, score), greatest)) == [40]
+    assert list(dual_tree.surviving(built, np.full(64, score + 1), greatest)) == []
+    assert sorted(built.ids) == list(range(64)) and len(built.nodes) > 20
+    assert all(set(built.of(i)[0]) <= set(t) for a, b, _, t, _ in built.nodes for i in range(a, b))

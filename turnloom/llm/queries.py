@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import chat_tree, dart_minhash, maxent_lm, mixing, multiprobe, piece_codec, pivot_topk, source_audit, token_files, toxicity, tree_forest, url_filter
+from turnloom.llm import chat_tree, dart_minhash, dual_tree, maxent_lm, mixing, multiprobe, piece_codec, pivot_topk, source_audit, token_files, toxicity, tree_forest, url_filter
 
 QUERIES = {}
 
@@ -90,6 +90,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op11_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op12_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
     return tree_forest.near_duplicates(table(spark, folder, "embeddings"))
