@@ -62,6 +62,46 @@ def test_ordinal_fit_orders_thresholds_and_recovers_grades():
     assert np.allclose(model.probabilities(margins).sum(1), 1)
 
 
+def test_fit_follows_the_slope_to_an_optimum():
+    rng = np.random.default_rng(4)
+    flat, rows, grade = rng.integers(0, 6, 300), np.sort(rng.integers(0, 90, 300)), rng.integers(0, 4, 90)
+    loss = lambda v: toxicity._loss(v, flat, rows, grade, 6, 0.7)
+    at = np.concatenate([rng.standard_normal(7), [0.3, -0.4]])
+    step = 1e-6
+    slopes = [(loss(at + step * e)[0] - loss(at - step * e)[0]) / (2 * step) for e in np.eye(9)]
+    assert np.allclose(slopes, loss(at)[1], rtol=1e-5, atol=1e-5)
+    found = toxicity.minimise(loss, at)
+    assert np.abs(loss(found)[1]).max() <= 1e-4 * max(1.0, np.abs(loss(at)[1]).max())
+    assert all(loss(found)[0] <= loss(found + 0.01 * rng.standard_normal(9))[0] for _ in range(20))
+
+
+def test_less_ridge_fits_the_training_texts_no_worse():
+    rng = np.random.default_rng(2)
+    toxic = (np.arange(600) % 8 == 0).astype(int)
+    lists = [np.unique(np.concatenate([rng.integers(0, 3000, 40), 5000 + rng.integers(0, 12, 2 + i % 3) if t else []])).astype(np.int32) for i, t in enumerate(toxic)]
+    flat, rows = np.concatenate(lists), np.repeat(np.arange(600), [len(x) for x in lists])
+    grade = toxicity.grades_of(flat, rows, toxic)
+    apart = []
+    for ridge in (10.0, 1.0, 0.1):
+        margins = np.bincount(rows, weights=toxicity.fit(flat, rows, grade, ridge=ridge).weights[flat], minlength=600)
+        apart.append((margins[toxic == 1][:, None] > margins[toxic == 0]).mean())
+    assert apart == sorted(apart) and apart[-1] > 0.999
+
+
+def test_cut_lies_in_the_widest_gap_of_the_best():
+    assert toxicity.choose_cut(np.array([0.1, 0.1, 0.2, 0.9]), np.array([0, 0, 0, 1])) == (1.0, pytest.approx(0.55))
+    assert toxicity.choose_cut(np.array([0.1, 0.3]), np.array([0, 0])) == (0.0, 0.5)
+    assert toxicity.choose_cut(np.array([0.5, 0.5]), np.array([0, 1])) == (0.0, 0.5)
+
+
+def test_sample_has_one_text_of_each_id_and_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "s", "x") for i in range(50)] + [(2, None, "s", "x")], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    assert [(r.doc_id, r.toxic) for r in toxicity.labelled_sample(docs, labels).collect()] == [(1, 1)]
+    clash = docs.selectExpr("doc_id", "text", "7 AS _text", "8 AS __text")
+    assert {(r._text, r["__text"]) for r in toxicity.severity_of(clash, labels).collect()} == {(7, 8)}
+
+
 def test_severity_of_empty_tables(spark):
     empty, labels = spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.severity_of(empty, labels).collect() == []
