@@ -30,7 +30,6 @@ BLOCK = 1 << 16
 PLANES = 4
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{{1,{CACHED_LENGTH}}}").fullmatch
-SEEN = (1 << 23) - 1  # places of the table of words met before
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -58,7 +57,7 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.seen = bytearray(SEEN + 1)
+        self.recent: set[str] = set()  # words that were new not long ago
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -94,27 +93,27 @@ class WordEncoder:
         ends = dict(zip(".,", self._each([".", ","])))
         stops = [(found[b] if (b := w[:-1]) in found else known[b]) + ends[w[-1]] for w in stopped]
         found.update(zip(stopped, stops))
-        # Only words that come again are worth their place.
-        seen = self.seen
-        for word, ids in found.items():
-            place = hash(word) & SEEN
-            if not seen[place]:
-                seen[place] = 1
-            elif len(word) <= CACHED_LENGTH:
-                known[word] = ids
         for word in words.difference(found):
             found[word] = known[word]
         return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
-            self.known, self.seen = {"": b""}, bytearray(SEEN + 1)
-        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        ids = [list(map(self.known.get, words)) for words in cut]
-        missing = {w for words, found in zip(cut, ids) if None in found for w, i in zip(words, found) if i is None}
+            self.known = {"": b""}
+        if len(self.recent) > CACHED_WORDS:
+            self.recent = set()
+        known, cut = self.known, [(text or "").replace("\n", " ").split(" ") for text in texts]
+        missing = set().union(*cut).difference(known)
         new = self._new(missing) if missing else {}
-        return [b"".join([new[w] if i is None else i for w, i in zip(words, found)] if None in found else found) + self.end
-                for words, found in zip(cut, ids)]
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
+        # Only words that come again are worth their place.
+        for word in new.keys() - self.recent:
+            del known[word]
+        for word in [w for w in new.keys() & self.recent if len(w) > CACHED_LENGTH]:
+            del known[word]
+        self.recent |= new.keys()
+        return out
 
 
 @lru_cache(maxsize=1)
