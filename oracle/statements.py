@@ -5,4 +5,4 @@ from __future__ import annotations
 STATEMENTS: dict[str, str] = {}
 
 from oracle import (  # noqa: E402,F401
-    evaluation_sets, operations, retrieval, scoring, text_and_guard)
+    duplicates, evaluation_sets, operations, retrieval, scoring, text_and_guard)

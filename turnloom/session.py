@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,10 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the frame once to the checkpoint folder and read on from there."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write the frame as a table to the checkpoint folder and read on from there, so that the planner knows its size."""
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
