@@ -35,6 +35,14 @@ PLACEHOLDER = (r"(?i)^(?:your|my|our|the|some|any|dummy|fake|example|sample|plac
 MAX_FILE_BYTES = 64 * 1024 * 1024
 EMPTY_VALUES = ("", "none", "null", "[redacted]")
 # ------------------------------------------------------------------------------
+# What a text must hold for a pattern to match at all: plain searches are far cheaper than the patterns.
+ANCHORS = {
+    "openai_key": ["sk-"], "anthropic_key": ["sk-ant-"], "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "aws_access_key": ["AKIA", "ASIA"], "google_api_key": ["AIza"], "hf_token": ["hf_"], "slack_token": ["xox"],
+    "private_key_block": ["-----BEGIN "], "key_value_assignment": ["=", ":"],
+}
+ANCHOR_PATTERNS = {
+    "key_value_assignment": "(?i)(?:key|authorization|password|secret|token)[\"']?\\s*[=:]", "bearer_header": "(?i)bearer\\s"}
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
@@ -43,6 +51,13 @@ def _regex(pattern: str) -> str:
     return pattern.replace("<b>", _BOUNDARY)
 
 
+def may_hold_sql(text: str, category: str) -> str:
+    """Whether a pattern's anchors are in the text."""
+    tests = [" OR ".join(f"contains({text}, {lit_sql(a)})" for a in ANCHORS.get(category, []))]
+    tests += [f"rlike({text}, {lit_sql(ANCHOR_PATTERNS[category])})"] if category in ANCHOR_PATTERNS else []
+    return " AND ".join(f"({t})" for t in tests if t)
+
+
 def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, category, offset, preview) per credential-shaped string; offsets are bytes."""
     parts = []
@@ -50,7 +65,7 @@ def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
         p = lit_sql(_regex(pattern))
         value = f"regexp_extract_all({text}, {p}, 1)" if category == "key_value_assignment" else f"regexp_extract_all({text}, {p}, 0)"
         parts.append(
-            f"CASE WHEN rlike({text}, {p}) THEN named_struct('category', '{category}', "
+            f"CASE WHEN {may_hold_sql(text, category)} AND rlike({text}, {p}) THEN named_struct('category', '{category}', "
             f"'found', regexp_extract_all({text}, {p}, 0), 'value', {value}, 'gaps', split({text}, {p}, -1)) END")
     hits = frame.select(*keys, F.explode(F.expr(f"array_compact(array({', '.join(parts)}))")).alias("h"))
     rows = hits.select(*keys, "h.category", F.explode(F.expr(
@@ -69,10 +84,10 @@ def mask_shapes(frame: DataFrame, text: str, out: str) -> DataFrame:
     frame = frame.withColumn(out, F.col(text))
     mask = ("CASE WHEN length(m) <= 8 THEN concat('[', length(m), ' chars]') "
             "ELSE concat(left(m, 3), '…[', length(m), ' chars]') END")
-    for pattern in CREDENTIALS.values():
+    for category, pattern in CREDENTIALS.items():
         p = lit_sql(_regex(pattern))
         frame = frame.withColumn(out, F.expr(
-            f"CASE WHEN rlike({out}, {p}) THEN array_join(zip_with(split({out}, {p}, -1), "
+            f"CASE WHEN {may_hold_sql(out, category)} AND rlike({out}, {p}) THEN array_join(zip_with(split({out}, {p}, -1), "
             f"transform(regexp_extract_all({out}, {p}, 0), m -> {mask}), "
             f"(g, m) -> concat(g, coalesce(m, ''))), '') ELSE {out} END"))
     return frame
