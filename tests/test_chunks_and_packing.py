@@ -97,3 +97,10 @@ def test_block_fill_passes_over_what_does_not_fit(spark):
     assert [(r.memory_id, r.reason) for r in got.drops().collect()] == [("id1", "memory_budget")]
     cost = got.prompts().selectExpr("sum(ceil(length(content) / 4) + 4) AS c").first().c
     assert cost == row.final_context_tokens
+
+
+def test_places_are_counted_whatever_the_turn_numbers(spark):
+    for numbers in (range(30), range(1, 31), range(0, 60, 2), [i // 2 for i in range(30)], [10_000 * i for i in range(30)]):
+        rows = spark.createDataFrame([("s", n, "user", f"turn {i:02d}") for i, n in enumerate(numbers)], "s string, pos long, role string, content string")
+        got = P.history_rows(rows, ["s"]).where("back <= 8").collect()
+        assert sorted(r.back for r in got) == list(range(1, 9)) and min(r.content for r in got) == "turn 22"

@@ -68,3 +68,11 @@ def test_retention(spark):
     rows = rows.select("s", F.to_timestamp("t").alias("t"))
     got = {r.s: r.fate for r in B.retention_sweep(rows, "s", "t", F.to_timestamp(F.lit("2024-01-10 00:00:00")), 86400, 2).collect()}
     assert got == {"edge": "kept", "old1": "expired", "old2": "expired", "old3": "waiting", "../x": "skipped", ".h": "skipped"}
+
+
+def test_requests_without_a_key_are_a_group_that_stops(spark):
+    rows = spark.createDataFrame([(k, i, 10, 10, False) for k in (None, "a") for i in range(5)],
+                                 "g string, seq long, prompt_tokens long, charged long, failed boolean")
+    got = B.run_budget(rows, ["g"], "seq", max_requests=2).collect()
+    assert sorted((r.g or "", r.seq) for r in got if r.sent) == [("", 0), ("", 1), ("a", 0), ("a", 1)]
+    assert set(got[0].asDict()) == {"g", "seq", "prompt_tokens", "charged", "failed", "stopped_at", "sent"}

@@ -48,8 +48,13 @@ def run_budget(requests: DataFrame, keys: list[str], order: str, max_requests: i
         stop = stop | (before_tokens >= max_total_tokens) | (
             before_tokens + F.greatest(F.lit(0), "prompt_tokens") > max_total_tokens)
     cuts = rows.where(stop).groupBy(*keys).agg(F.min(order).alias("stopped_at"))
-    return rows.drop("_spent", "_failed", "_sent").join(cuts, keys, "left").withColumn(
-        "sent", F.col("stopped_at").isNull() | (F.col(order) < F.col("stopped_at")))
+    # NULL keys are a group of their own here, too.
+    cuts = cuts.select("stopped_at", *[F.col(k).alias(f"_cut_{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_cut_{i}"))
+    rows = rows.drop("_spent", "_failed", "_sent").join(cuts, same, "left").drop(*[f"_cut_{i}" for i in range(len(keys))])
+    return rows.withColumn("sent", F.col("stopped_at").isNull() | (F.col(order) < F.col("stopped_at")))
 
 
 def usage_snapshot(sent: DataFrame, keys: list[str], max_requests: int, max_tokens: int) -> DataFrame:

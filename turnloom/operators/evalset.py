@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import text as X
+from turnloom.operators.prefix import running_index
 
 CATEGORIES = ["single_hop", "multi_hop", "temporal", "conflict", "distractor",
               "cross_session", "abstention"]
-PROJECTS = ["Osprey", "Juniper", "Marble", "Saffron", "Tundra", "Velvet", "Willow", "Zephyr",
-            "Quarry", "Nimbus", "Ember", "Fjord"]
-DATABASES = ["Granite 4", "Lagoon 9", "Cobalt 2", "Meridian 7", "Thistle 5", "Basalt 3", "Orchid 8", "Pelican 6"]
+PROJECTS = ["Osprey", "Larch", "Marble", "Saffron", "Tundra", "Velvet", "Willow", "Zephyr",
+            "Quarry", "Tansy", "Pumice", "Heron"]
+DATABASES = ["Sorrel 4", "Lagoon 9", "Umber 2", "Plover 7", "Thistle 5", "Basalt 3", "Orchid 8", "Pelican 6"]
 REGIONS = ["Lisbon", "Osaka", "Nairobi", "Toronto", "Santiago", "Oslo"]
 DAYS = ["Friday", "Tuesday", "Sunday", "Wednesday", "Saturday", "Monday"]
 TIMES = ["08:15", "11:40", "16:20", "19:05", "22:50"]
@@ -286,6 +287,8 @@ def _spoken(task_facts: str = "facts") -> Column:
 def plant_transcript(turns: DataFrame, tasks: DataFrame) -> DataFrame:
     """Every given turn, in order, with the facts said between them; nothing is cut and nothing filled up."""
     plan = tasks.select("conv_id", "facts")
+    # A turn's number is its place, so gaps and other first numbers do no harm.
+    turns = running_index(turns, ["conv_id"], "turn", "_place", ["role", "text"]).withColumn("turn", F.col("_place"))
     before = F.filter(_spoken(), lambda f: f["turns_before"] <= F.col("turn"))
     given = turns.join(plan, "conv_id").select(
         "conv_id", (F.col("turn") + 2 * F.size(before)).cast("int").alias("pos"),

@@ -32,9 +32,10 @@ def history_rows(messages: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "pos", G.history_role("role").alias("role"), "content",
         G.role_was_privileged("role").alias("downgraded"),
         X.estimate_tokens("content").alias("tokens"))
-    rows = running_total(rows, keys, "pos", F.col("tokens"), "cum", descending=True)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return rows.join(counts, keys).withColumn("back", F.col("_n") - F.col("pos")).drop("_n")
+    # The place is counted, whatever numbers the turns carry; turns of one number are told apart by what they say.
+    tie = ["role", "content"]
+    rows = running_total(rows, keys, "pos", F.col("tokens"), "cum", tie, descending=True)
+    return running_total(rows, keys, "pos", F.lit(1).cast("long"), "back", tie, descending=True)
 
 
 def history_totals(messages: DataFrame, keys: list[str]) -> DataFrame:
