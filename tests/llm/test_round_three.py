@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from turnloom.llm import dual_tree, source_audit, tree_forest
+from turnloom.llm import dart_minhash, dual_tree, mixing, source_audit, tree_forest, url_filter
 
 TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,3 +185,14 @@ def test_bounds_prune_whole_batches_of_items():
     assert list(dual_tree.surviving(built, np.full(64, score + 1), greatest)) == []
     assert sorted(built.ids) == list(range(64)) and len(built.nodes) > 20
     assert all(set(built.of(i)[0]) <= set(t) for a, b, _, t, _ in built.nodes for i in range(a, b))
+
+
+def test_columns_of_any_name_pass_through(spark):
+    odd = ["_key", "_block", "_w0", "_raw", "_kept_id", "_mix_words", "_given", "_url", "host", "a.b"]
+    rows = [(1, "s", "one two three", "http://a.net/x", *["v"] * len(odd)), (2, "s", "one two three", "http://b.org/fr/x", *["v"] * len(odd))]
+    frame = spark.createDataFrame(rows, ["doc_id", "source", "text", "url", *odd])
+    judged = url_filter.filter_urls(frame, spark.createDataFrame([("b.org/fr/x",)], "key string"), [url_filter.Rule("block", "net", "/")]).collect()
+    assert {(r.doc_id, r.verdict, r._key, r._block, r["a.b"]) for r in judged} == {(1, "block", "v", "v", "v"), (2, "block", "v", "v", "v")}
+    assert [(r.doc_id, r._raw, r["a.b"]) for r in dart_minhash.one_of_each(frame).collect()] == [(1, "v", "v")]
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns and {r._mix_words for r in mixed.collect()} == {"v"}

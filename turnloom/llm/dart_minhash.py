@@ -331,8 +331,9 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The first row of each class, by id and then by a hash of the text; of rows that repeat both, one."""
     kept = _classified(documents).where("doc_id <=> class_id AND raw = class_raw").groupBy("doc_id", "raw").agg(F.count("*").alias("_rows"))
     kept = keep(kept.select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"), "_rows"), "kept")
-    rows = documents.withColumn("_raw", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")))
-    single = rows.where("_rows = 1").select(*documents.columns)
-    repeated = rows.where("_rows > 1").dropDuplicates(["_kept_id", "_raw"]).select(*documents.columns)
+    # The columns given travel in one, so that no name of theirs can clash with those made here.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_given"), F.xxhash64("text").alias("_raw"))
+    rows = rows.join(kept, F.col("_given.doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_raw") == F.col("_kept_raw")))
+    single = rows.where("_rows = 1").select("_given.*")
+    repeated = rows.where("_rows > 1").dropDuplicates(["_kept_id", "_raw"]).select("_given.*")
     return single.unionAll(repeated)

@@ -88,8 +88,9 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     mixed = mix(documents, **options).where("passes > 0").select(
         F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
         F.col("passes").alias("_mix_passes"))
-    sized = documents.withColumn("_mix_words", words_in("text"))
-    on = (F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source"))
+    # The columns given travel in one, so that no name of theirs can clash with those made here.
+    sized = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_given"), words_in("text").alias("_mix_words"))
+    on = (F.col("_given.doc_id").eqNullSafe(F.col("_mix_id")) & F.col("_given.source").eqNullSafe(F.col("_mix_source"))
           & (F.col("_mix_words") == F.col("_mix_size")))
     rows = sized.join(mixed, on).withColumn("_mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_passes"))))
-    return rows.select(*documents.columns)
+    return rows.select("_given.*")

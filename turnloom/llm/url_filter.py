@@ -70,15 +70,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     canonical URL is listed, else allowed. NULL, empty and other URLs without ``://`` have an
     empty host and path, fit no rule (a path rule needs its path) and are allowed unless the empty key
     is listed. Rows are never merged: repeated pages get a verdict each.
-    Columns of ``pages`` named like an added one are replaced.
+    Columns of ``pages`` named like an added one are replaced; all others stay, whatever their names. An empty table gives no rows.
 
     The filter has at most ``blocks`` rows of 72 bytes (2.4 MB as set), whatever the list's
     length, so it may be broadcast; a longer list only lets more rows pass to the exact
     join, where a hot URL meets one row of the list and skewed partitions can be split.
     """
     keys = listed.select(F.col("key").alias("_key")).where("_key IS NOT NULL").distinct()
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    base = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c in pages.columns and c != url])
+    given = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # The columns given travel in one, so that no name of theirs can clash with those made here.
+    pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("_given"), F.col(url).alias("_url"))
+    host, path = host_of(F.col("_url")), path_of(F.col("_url"))
+    base = pages
     parsed = base.withColumns({"host": host, "path": path})
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumns({"rule": rule, "_action": action, "_url_key": canonical(F.col("host"), F.col("path"))})
@@ -91,5 +94,5 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     passed = probed.where("_maybe").join(keys, F.col("_url_key") == F.col("_key"), "left")
     rest = probed.where("NOT _maybe").withColumn("_key", F.lit(None).cast("string"))
     verdict = F.coalesce("_action", F.when(F.col("_key").isNotNull(), "block").otherwise("allow"))
-    columns = [*base.columns, "host", "path", "rule", verdict.alias("verdict")]
+    columns = ["_given.*", "host", "path", "rule", verdict.alias("verdict")]
     return rest.select(*columns).unionAll(passed.select(*columns))
