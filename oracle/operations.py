@@ -102,4 +102,7 @@ T["source_task_lines"] = compose(["facts"], """SELECT conv_id, question, coalesc
 T["source_quarantined_lines"] = """SELECT 'good' AS kind, count(*) AS n, CAST(sum((props::JSON->>'$.k')::BIGINT) AS BIGINT) AS total FROM events WHERE event_id % 50 <> 0
 UNION ALL SELECT 'bad', count(*), 0 FROM events WHERE event_id % 50 = 0"""
 T["sink_upsert"] = """SELECT user_id, event_type, max(epoch_us(ts)) AS stamp, min(epoch_us(ts)) AS created, max_by(value, ts) AS value, count(*) AS seen FROM events GROUP BY ALL"""
+T["sink_stored_upsert"] = T["sink_upsert"]
+T["sink_stored_rows"] = f"""SELECT * FROM ({T['sink_upsert']}) WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')
+ AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90)"""
 T["sink_delete"] = "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60) GROUP BY user_id"

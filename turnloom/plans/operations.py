@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
@@ -11,6 +13,7 @@ from turnloom.operators import modes as M
 from turnloom.plans.registry import query
 from turnloom.plans.workspace import Q, QM, shared_folder, workspace
 from turnloom.sources import tables
+from turnloom.sources.stored import StoredTable
 
 PLAIN = [m for m in M.MODES if not m.uses_memory and not m.uses_chunks]
 
@@ -259,6 +262,33 @@ def sink_upsert(spark, sf):
                          ["created"], ["seen"])
 
 
+def _stored_events(spark, sf):
+    """The changes of ``sink_upsert`` written to a stored table in three batches, one of them delivered twice."""
+    rows = _changes(spark, sf)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    stored = StoredTable(spark, path, rows.schema.simpleString()[7:-1].replace(":", " "), ["user_id", "event_type"], "stamp", ["created"], ["seen"], buckets=16)
+    for part in (1, 0, 1, 2):
+        stored.upsert(rows.where(f"pmod(stamp, 3) = {part}"), f"events-{part}")
+    return stored
+
+
+@query
+def sink_stored_upsert(spark, sf):
+    """A stored table after all changes came in out of order, and some twice."""
+    return _stored_events(spark, sf).read()
+
+
+@query
+def sink_stored_rows(spark, sf):
+    """The stored rows of every user who met an error, read by key after all rows of users with a purchase over 90 were taken out."""
+    rows, stored = _changes(spark, sf), _stored_events(spark, sf)
+    keys = rows.select("user_id", "event_type").distinct()
+    doomed = rows.where("event_type = 'purchase' AND value > 90").select("user_id").distinct()
+    stored.delete(keys.join(doomed, "user_id"), "doomed")
+    errors = rows.where("event_type = 'error'").select("user_id").distinct()
+    return stored.read_keys(keys.join(errors, "user_id"))
+
+
 @query
 def sink_delete(spark, sf):
     rows = _changes(spark, sf)
