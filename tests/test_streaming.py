@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import budgets, extraction
+from turnloom.operators import budgets, extraction, retrieval, supersession
+from turnloom.sources.stored import StoredTable
 from turnloom.streaming import jobs
 
 
@@ -66,3 +67,35 @@ def test_idle_sessions_and_repeats(spark, tmp_path):
     assert sorted(r.id for r in once.collect()) == [1, 2, 3]
     idle = run(spark, jobs.idle_sessions(stream(), "s", "t", "10 minutes", "1 hour"), "idle", "append", tmp_path).collect()
     assert [(r.s, r.events) for r in idle] == [("a", 3)]
+
+
+SAID = ["The production database is PostgreSQL 16.", "The cache runs on Redis 7.", "Actually, the production database is MySQL 8.", "I prefer short answers in reports.",
+        "Correction: the production database is MariaDB 11.", "Actually, the cache runs on Valkey 8.", "The production database is PostgreSQL 16."]
+
+
+def test_supersession_stream_equals_batch_in_any_order(rocks, tmp_path):
+    rows = rocks.createDataFrame([(s, f"{s}{i}", i, t, "FACT") for s in ("a", "b") for i, t in enumerate(SAID)],
+                                 "session string, memory_id string, seen long, text string, memory_type string")
+    memories = retrieval.memory_features(rows, ["session"]).select("session", "memory_id", "seen", "replaces", "claims")
+    want = sorted(tuple(r) for r in supersession.superseded(memories, ["session"]).collect())
+    assert ("a", "a0", "a2", "production database") in [(s, o, n, sub.lower().removeprefix("the ")) for s, o, n, sub in want]
+    assert not any(n.endswith("6") for _, _, n, _ in want) and len(want) >= 6
+    kept = memories.cache()
+    for part in (2, 0, 1, 0):  # out of order, one file twice
+        kept.where(f"seen % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = rocks.readStream.schema(memories.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(rocks, jobs.supersession(stream), "superseded", "append", tmp_path)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_observed_table_equals_batch_whatever_the_order_of_files(spark, tmp_path):
+    said = ["You must encrypt every backup. Thanks!", "Actually, we changed to MySQL 8.", "You must encrypt every backup.", "What do we use?"]
+    rows = spark.createDataFrame([(s, i, "user", t) for s in ("s", "t") for i, t in enumerate(said)], "session string, pos int, role string, content string")
+    for i in (2, 0, 1, 3):
+        rows.where(f"pos = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stored = StoredTable(spark, str(tmp_path / "table"), f"session string, {jobs.MEMORY_SCHEMA}", ["session", "memory_id"], "source_turn", ["first_turn"], ["mentions"], buckets=4)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.observe_into_table(stream, ["session"], "pos", stored, str(tmp_path / "cp")).awaitTermination(200)
+    columns = ["session", "memory_id", "text", "memory_type", "confidence", "source_turn", "first_turn", "mentions"]
+    pick = lambda f: sorted(tuple(r) for r in f.select(*columns).collect())
+    assert pick(stored.read()) == pick(extraction.observe(rows, ["session"])) and stored.read().count() == 4

@@ -6,6 +6,7 @@ never rows. Watermarks bound the state of the event-time operators.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -15,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from turnloom.functions import text as X
 from turnloom.operators import extraction
+from turnloom.operators.retrieval import SAME_SUBJECT
+from turnloom.sources.stored import StoredTable
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,6 +44,81 @@ def observe_into(turns: DataFrame, keys: list[str], order: str, path: str, check
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def observe_into_table(turns: DataFrame, keys: list[str], order: str, stored: StoredTable, checkpoint: str):
+    """Memories of a stream of turns, upserted by session and memory id; a micro-batch that is run again changes nothing.
+
+    ``stored`` has the columns of ``MEMORY_SCHEMA`` after the keys, with keys (keys, memory_id), order ``source_turn``, ``first_turn`` as first written and
+    ``mentions`` as counter. What it holds at the end is what ``extraction.observe`` makes of all turns, in whatever order files arrive.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        taken = extraction.select_candidates(batch, [*keys, order])
+        rows = taken.select(
+            *keys, X.stable_id("sentence").alias("memory_id"), F.col("sentence").alias("text"), "memory_type", "confidence",
+            F.col(order).cast("long").alias("source_turn"), F.col(order).cast("long").alias("first_turn"), F.lit(1).cast("long").alias("mentions"))
+        stored.upsert(rows, f"{checkpoint}:{batch_id}")
+
+    return extract_stream(turns, keys, order).writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+MEMORY_SCHEMA = "memory_id string, text string, memory_type string, confidence double, source_turn bigint, first_turn bigint, mentions bigint"
+
+
+class Supersession(StatefulProcessor):
+    """Claims of a session by subject token; a row for each memory that another one is found to supersede, whichever arrives first."""
+
+    def __init__(self, same_subject: float, keep_ms: int | None):
+        self.same_subject, self.keep_ms = same_subject, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        more = {"ttlDurationMs": self.keep_ms} if self.keep_ms else {}
+        self.claims = handle.getMapState("claims", "token string", "said string", **more)
+        self.known = handle.getMapState("known", "memory_id string", "seen bigint", **more)
+
+    def _pairs(self, new: dict, token: str) -> Iterator[tuple]:
+        for old in json.loads(self.claims.getValue((token,))[0]) if self.claims.containsKey((token,)) else []:
+            if old["id"] == new["id"] or old["seen"] == new["seen"]:
+                continue
+            older, newer = (old, new) if old["seen"] < new["seen"] else (new, old)
+            one, two = set(older["subjects"]), set(newer["subjects"])
+            if (newer["replaces"] and set(older["kinds"]) & set(newer["kinds"]) and len(one & two) / len(one | two) >= self.same_subject
+                    and not set(older["values"]) & set(newer["values"])):
+                yield (older["claim"], newer["claim"]), older["id"], newer["id"], older["subject"]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            found: dict[tuple[str, str], tuple] = {}
+            for row in batch.itertuples(index=False):
+                if self.known.containsKey((row.memory_id,)):
+                    continue  # delivered before
+                self.known.updateValue((row.memory_id,), (int(row.seen),))
+                for claim in json.loads(row.claims):
+                    new = {"id": row.memory_id, "seen": int(row.seen), "replaces": bool(row.replaces), "claim": claim["claim"], "subject": claim["subject"],
+                           "kinds": claim["kinds"], "subjects": claim["subject_tokens"], "values": claim["value_tokens"]}
+                    for token in set(new["subjects"]):
+                        for place, older, newer, subject in self._pairs(new, token):
+                            found[older, newer] = min(found.get((older, newer), (place, subject)), (place, subject))
+                        held = json.loads(self.claims.getValue((token,))[0]) if self.claims.containsKey((token,)) else []
+                        self.claims.updateValue((token,), (json.dumps([*held, new]),))
+            yield pd.DataFrame([(key[0], *pair, subject) for pair, (_, subject) in found.items()], columns=["session", "older_id", "newer_id", "subject"])
+
+    def close(self) -> None:
+        pass
+
+
+def supersession(memories: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """``memories`` streams (session, memory_id, seen, replaces, claims) as ``memory_features`` makes them; the rows of ``supersession.superseded``, each once.
+
+    State is a session's claims under each of their subject tokens; a claim is compared only with those that share one. ``keep_ms``: how
+    long a claim is remembered (for ever, if None). Rows without a memory id or ``seen`` are left out.
+    """
+    rows = memories.where("memory_id IS NOT NULL AND seen IS NOT NULL").select(
+        "session", "memory_id", "seen", F.coalesce("replaces", F.lit(False)).alias("replaces"), F.coalesce(F.to_json("claims"), F.lit("[]")).alias("claims"))
+    return rows.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=Supersession(SAME_SUBJECT, keep_ms), outputStructType="session string, older_id string, newer_id string, subject string",
+        outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None")
+
+
 class SessionBudget(StatefulProcessor):
     """Counters of one session; a turn past a ceiling is refused and only counted."""
 
