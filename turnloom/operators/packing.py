@@ -300,20 +300,20 @@ class Contexts:
         history = self.window.select("conv_id", "mode", F.lit(3).alias("part"), "pos", "role", "content")
         return fixed.unionByName(history)
 
+    def dropped_items(self) -> DataFrame:
+        """Evidence that did not reach the prompt as rows (step, reason, i), steps in the order of packing."""
+        steps = [("memory_skipped", "memory_budget"), ("memory_evicted", "budget"), ("chunk_repeats", "duplicate_history"),
+                 ("chunk_skipped", "chunk_budget"), ("chunk_evicted", "chunk_ceiling")]
+        items = F.array(*[F.struct(F.lit(no).alias("step"), F.lit(reason).alias("reason"), F.col(column).alias("items"))
+                          for no, (column, reason) in enumerate(steps)])
+        return self.stats.select("conv_id", "mode", F.explode(items).alias("s")).select(
+            "conv_id", "mode", "s.step", "s.reason", F.explode("s.items").alias("i"))
+
     def drops(self) -> DataFrame:
         """Evidence that did not reach the prompt, by reason."""
-        parts = []
-        for column, reason in [("memory_skipped", "memory_budget"), ("memory_evicted", "budget"),
-                               ("chunk_repeats", "duplicate_history"), ("chunk_skipped", "chunk_budget"),
-                               ("chunk_evicted", "chunk_ceiling")]:
-            parts.append(self.stats.select(
-                "conv_id", "mode", F.explode(column).alias("i")).select(
-                "conv_id", "mode", F.col("i.id").alias("memory_id"), F.lit(reason).alias("reason"),
-                X.preview("i.text").alias("text"), F.bround("i.score", 6).alias("score")))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        return self.dropped_items().select(
+            "conv_id", "mode", F.col("i.id").alias("memory_id"), "reason", X.preview("i.text").alias("text"),
+            F.bround("i.score", 6).alias("score"))
 
     def token_breakdown(self) -> DataFrame:
         """Prompt cost by section, one row per section."""

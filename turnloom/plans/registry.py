@@ -15,7 +15,7 @@ def query(function):
 
 
 from turnloom.plans import (  # noqa: E402,F401
-    duplicates, evaluation_sets, operations, retrieval, scoring, text_and_guard)
+    duplicates, evaluation_sets, operations, replay, retrieval, scoring, text_and_guard)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

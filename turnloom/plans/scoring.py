@@ -1,9 +1,4 @@
-"""Queries over scored replays.
-
-The registered score queries use plainly derived replays (windows and draws over the
-planted transcript) so that each can be restated in SQL; ``replay_*`` queries score the
-packed contexts of the real modes.
-"""
+"""Queries over drawn replays, which SQL can restate whole; ``plans/replay.py`` grades the packed prompts of the modes."""
 
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
 from turnloom.operators import chunks as C
-from turnloom.operators import evalset, extraction, packing
+from turnloom.operators import evalset, extraction, packing, replay
 from turnloom.operators import modes as M
 from turnloom.operators import retrieval as R
 from turnloom.session import shared_folder
@@ -121,18 +121,20 @@ class Workspace:
         return self.tasks.where("conv_id % 5 = 0").select(
             "conv_id", X.stable_id(first["text"]).alias("memory_id"))
 
-    @cached_property
-    def decided(self) -> DataFrame:
-        """One row per (task, mode, candidate memory) with its fate."""
+    def _decide(self, recalled: DataFrame, **reports) -> DataFrame:
         modes = [m for m in M.MODES if m.uses_memory]
         fields = ["mode", *R.MODE_KNOBS, "strip_temporal", "strip_lifecycle"]
-        rows = M.fan_out(self.recalled, modes, fields)
+        rows = M.fan_out(recalled, modes, fields)
         rows = R.strip_for_ablation(rows.withColumnsRenamed({k: "p_" + k for k in R.MODE_KNOBS}))
         names = F.array(*[F.lit(m.mode) for m in modes])
-        conflicts = self.reported_conflicts.withColumn("mode", F.explode(names))
-        stale = self.reported_stale.withColumn("mode", F.explode(names))
-        return self.keep(R.select_memories(
-            rows, QM, as_of=F.to_timestamp(F.lit(AS_OF)), conflicts=conflicts, stale=stale), "decided")
+        reports = {k: v.withColumn("mode", F.explode(names)) for k, v in reports.items()}
+        return R.select_memories(rows, QM, as_of=F.to_timestamp(F.lit(AS_OF)), **reports)
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        """One row per (task, mode, candidate memory) with its fate."""
+        return self.keep(self._decide(
+            self.recalled, conflicts=self.reported_conflicts, stale=self.reported_stale), "decided")
 
     @cached_property
     def resolutions(self) -> DataFrame:
@@ -148,6 +150,40 @@ class Workspace:
     def offered_chunks(self) -> DataFrame:
         return self.top_chunks
 
+    @cached_property
+    def replay_decided(self) -> DataFrame:
+        """Fates of the recalled memories by their texts and turns alone: nothing is reported about them."""
+        turns = self.transcript.groupBy("conv_id").agg((F.count("*") + 1).alias("current_turn"))
+        found = R.recall(self.memories, self.questions, Q).join(turns, "conv_id").join(self.questions, "conv_id")
+        empty = lambda kind: F.lit(None).cast(kind)
+        rows = found.select(
+            *self.memories.columns, "q_tokens", "current_turn", "position", "recall_score",
+            empty("string").alias("status"), *[empty("timestamp").alias(c) for c in ("valid_until", "observed_at", "created_at")],
+            F.regexp_extract_all("text", F.lit("Project [A-Z][a-z]+"), F.lit(0)).alias("entities"),
+            empty("map<string,double>").alias("signals"))
+        return self.keep(self._decide(rows), "replay_decided")
+
+    @cached_property
+    def replay_contexts(self) -> packing.Contexts:
+        """The packed prompts of every (task, mode) over ``replay_decided`` and the retrieved chunks."""
+        chosen = self.replay_decided.where("drop_reason IS NULL")
+        packed = packing.build_contexts(self.tasks, self.transcript, chosen, self.top_chunks)
+        return packing.Contexts(self.keep(packed.stats, "replay_contexts"), self.keep(packed.window, "replay_windows"))
+
+    @cached_property
+    def replay_losses(self) -> DataFrame:
+        return self.keep(replay.losses(self.replay_decided, self.replay_contexts), "replay_losses")
+
+    @cached_property
+    def replays(self) -> DataFrame:
+        """Graded records of every (task, mode); answers are the replies that the conversations give."""
+        records = replay.replay_records(self.tasks, self.replay_contexts, replay.given_replies(self.turns))
+        return self.keep(replay.grade(records), "replays")
+
+    @cached_property
+    def replay_failures(self) -> DataFrame:
+        return self.keep(replay.attribute(self.replays, self.replay_losses, self.tasks), "replay_failures")
+
 
 _OPEN: dict[tuple[str, str], Workspace] = {}
 
