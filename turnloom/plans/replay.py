@@ -17,7 +17,6 @@ from turnloom.plans.workspace import QM, workspace
 SETS = [[], ["mode"], ["category", "mode"], ["length_tier", "mode"], ["category"], ["length_tier"]]
 FACTS = ["retrieved", "in_prompt", "missing", "forbidden_retrieved", "prompt_forbidden", "absent", "lost_after_selection",
          "unneeded"]
-MEMORY_MODES = [m.mode for m in M.MODES if m.uses_memory]
 
 
 def _six(rows: DataFrame) -> DataFrame:
@@ -28,8 +27,8 @@ def _six(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _graded(spark, sf) -> DataFrame:
-    return workspace(spark, sf).replays.select(
+def _graded(replays: DataFrame) -> DataFrame:
+    return replays.select(
         *QM, *[F.array_join(c, "|").alias(c) for c in FACTS], "recall", "precision", "evidence_in_prompt",
         "prompt_contains_forbidden", "final_tokens", "full_tokens", "token_savings", "context_reduction",
         F.md5("answer").alias("answer_digest"), "matched_answer", "stale_value", "verdict", "error_type", "faithfulness",
@@ -39,13 +38,13 @@ def _graded(spark, sf) -> DataFrame:
 @query
 def replay_transcript_modes(spark, sf):
     """Graded prompts of the modes that show turns and chunks."""
-    return _graded(spark, sf).where(~F.col("mode").isin(*MEMORY_MODES))
+    return _graded(workspace(spark, sf).transcript_replays)
 
 
 @query
 def replay_memory_modes(spark, sf):
     """Graded prompts of the modes that recall memories."""
-    return _graded(spark, sf).where(F.col("mode").isin(*MEMORY_MODES))
+    return _graded(workspace(spark, sf).memory_replays)
 
 
 @query

@@ -163,22 +163,46 @@ class Workspace:
             empty("map<string,double>").alias("signals"))
         return self.keep(self._decide(rows), "replay_decided")
 
+    def _pack(self, name: str, modes: list[M.Mode], memories: DataFrame | None) -> packing.Contexts:
+        packed = packing.build_contexts(self.tasks, self.transcript, memories, self.top_chunks, modes=modes)
+        return packing.Contexts(self.keep(packed.stats, f"{name}_contexts"), self.keep(packed.window, f"{name}_windows"))
+
+    def _graded(self, name: str, contexts: packing.Contexts) -> DataFrame:
+        records = replay.replay_records(self.tasks, contexts, replay.given_replies(self.turns))
+        return self.keep(replay.grade(records), f"{name}_replays")
+
+    @cached_property
+    def transcript_contexts(self) -> packing.Contexts:
+        """Packed prompts of the modes that show turns and chunks; no memory is read for them."""
+        return self._pack("transcript", [m for m in M.MODES if not m.uses_memory], None)
+
+    @cached_property
+    def memory_contexts(self) -> packing.Contexts:
+        return self._pack("memory", [m for m in M.MODES if m.uses_memory],
+                          self.replay_decided.where("drop_reason IS NULL"))
+
     @cached_property
     def replay_contexts(self) -> packing.Contexts:
         """The packed prompts of every (task, mode) over ``replay_decided`` and the retrieved chunks."""
-        chosen = self.replay_decided.where("drop_reason IS NULL")
-        packed = packing.build_contexts(self.tasks, self.transcript, chosen, self.top_chunks)
-        return packing.Contexts(self.keep(packed.stats, "replay_contexts"), self.keep(packed.window, "replay_windows"))
+        a, b = self.transcript_contexts, self.memory_contexts
+        return packing.Contexts(a.stats.unionByName(b.stats), a.window.unionByName(b.window))
 
     @cached_property
     def replay_losses(self) -> DataFrame:
         return self.keep(replay.losses(self.replay_decided, self.replay_contexts), "replay_losses")
 
+    @cached_property
+    def transcript_replays(self) -> DataFrame:
+        return self._graded("transcript", self.transcript_contexts)
+
+    @cached_property
+    def memory_replays(self) -> DataFrame:
+        return self._graded("memory", self.memory_contexts)
+
     @cached_property
     def replays(self) -> DataFrame:
         """Graded records of every (task, mode); answers are the replies that the conversations give."""
-        records = replay.replay_records(self.tasks, self.replay_contexts, replay.given_replies(self.turns))
-        return self.keep(replay.grade(records), "replays")
+        return self.transcript_replays.unionByName(self.memory_replays)
 
     @cached_property
     def replay_failures(self) -> DataFrame:
