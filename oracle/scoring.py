@@ -254,6 +254,18 @@ FROM (SELECT *, CASE WHEN sd > 0 THEN md / sd ELSE 0 END AS d, CASE WHEN n > 1 T
    count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a < b) AS losses, count(*) FILTER (WHERE a = b) AS ties
   FROM (SELECT p.mode_a, p.mode_b, x.metric, x.value AS a, y.value AS b FROM (VALUES {_PAIRS}) p(mode_a, mode_b)
    JOIN means x ON x.mode = mode_a JOIN means y ON y.mode = mode_b AND y.metric = x.metric AND y.conv_id = x.conv_id) GROUP BY ALL))""")
+# The t distribution of whole degrees of freedom is a finite sum over powers of the cosine of atan(t / sqrt(df)).
+_EVEN = "sin(th) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(0.5e0) - lgamma(j + 1)) * pow(cos(th), 2 * j)))"
+_ODD = ("2e0 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (df - 1) // 2), "
+        "lambda j: exp(lgamma(j + 1) + lgamma(1.5e0) - lgamma(j + 1.5e0)) * pow(cos(th), 2 * j + 1))), 0))")
+STATEMENTS["compare_p_values"] = compose(["means"], f"""
+SELECT mode_a, mode_b, metric, round_even(t, 4) AS t_statistic, round_even(CASE WHEN df < 1 THEN 1e0 WHEN sd = 0 THEN CASE WHEN md = 0 THEN 1e0 ELSE 0e0 END
+  WHEN t = 0 THEN 1e0 ELSE greatest(0e0, 1e0 - CASE WHEN df % 2 = 0 THEN {_EVEN} ELSE {_ODD} END) END, 6) AS p_value
+FROM (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM (SELECT *, n - 1 AS df, CASE WHEN sd > 0 THEN md / (sd / sqrt(n)) ELSE 0 END AS t
+ FROM (SELECT mode_a, mode_b, metric, count(*) AS n, avg(a - b) AS md,
+   CASE WHEN coalesce(stddev_samp(a - b), 0) < 1e-12 THEN 0 ELSE stddev_samp(a - b) END AS sd
+  FROM (SELECT p.mode_a, p.mode_b, x.metric, x.value AS a, y.value AS b FROM (VALUES {_PAIRS}) p(mode_a, mode_b)
+   JOIN means x ON x.mode = mode_a JOIN means y ON y.mode = mode_b AND y.metric = x.metric AND y.conv_id = x.conv_id) GROUP BY ALL)))""")
 STATEMENTS["compare_label_groups"] = f"""
 SELECT lang, n_a, n_b, round_even(ma, 6) AS mean_a, round_even(mb, 6) AS mean_b, round_even(d, 4) AS cohens_d,
  round_even({hedges('d', 'n_a + n_b - 2')}, 4) AS hedges_g, {effect('d')} AS magnitude

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import paired, rollups
-from turnloom.operators.paired import two_tailed_p
 
 
 def diffs(spark, values):
@@ -33,11 +32,35 @@ def test_flat_and_single_pairs(spark):
     assert (single.t_statistic, single.p_value, single.ci_low, single.ci_high) == (0.0, 1.0, 3.0, 3.0)
 
 
-def test_student_t_against_closed_forms():
+def two_tailed_p(t, df):
+    """The finite sum for whole degrees of freedom."""
+    angle = math.atan(abs(t) / math.sqrt(df))
+    factor, total = (1.0, 0.0) if df % 2 == 0 else (math.cos(angle), 0.0)
+    for j in range(1, df // 2 + 1):
+        total += factor
+        factor *= ((2 * j - 1) / (2 * j) if df % 2 == 0 else 2 * j / (2 * j + 1)) * math.cos(angle) ** 2
+    inside = math.sin(angle) * total
+    return 1 - inside if df % 2 == 0 else 1 - 2 / math.pi * (angle + inside)
+
+
+def test_student_t_against_closed_forms(spark):
+    cases = [(t, df) for df in (1, 2, 3, 7, 8, 30, 99, 1000, 5001) for t in (-40.0, -2.5, -0.001, 0.3, 1.0, 1.96, 6.0)]
+    rows = spark.createDataFrame(cases, "t double, df long").withColumn("p", paired.student_t_p("t", "df"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    for row in rows.collect():
+        assert math.isclose(row.p, two_tailed_p(row.t, row.df), abs_tol=1e-9), row
     assert math.isclose(two_tailed_p(1.0, 1), 0.5, rel_tol=1e-9)
     assert math.isclose(two_tailed_p(2.0, 2), 1 - 2 / math.sqrt(6), rel_tol=1e-9)
 
 
+def test_student_t_at_its_ends(spark):
+    rows = spark.createDataFrame([(0.0, 5), (3.0, 0), (None, 5), (3.0, None), (1e300, 5)], "t double, df long")
+    got = [r.p for r in rows.select(paired.student_t_p("t", "df").alias("p")).collect()]
+    assert got == [1.0, 1.0, None, None, 0.0]
+    far = spark.createDataFrame([(1.5, 2_000_000)], "t double, df long").select(paired.student_t_p("t", "df").alias("p")).first().p
+    assert math.isclose(far, math.erfc(1.5 / math.sqrt(2)), abs_tol=1e-6)
+
+
 def test_degradation(spark):
     points = spark.createDataFrame([("m", 5000, 1.0), ("m", 10000, 0.8), ("m", 20000, 0.5), ("one", 1, 1.0)],
                                    "mode string, length_tier int, answer_accuracy double")

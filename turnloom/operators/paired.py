@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import math
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import modes as M
 from turnloom.operators.rollups import t_critical
 
-# Batch functions of this module travel by value, so workers need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 PAIR_METRICS = {
     "accuracy": "CASE WHEN verdict = 'correct' THEN 1D WHEN verdict <> 'ungraded' THEN 0D END",
     "faithfulness": "faithfulness",
@@ -46,44 +38,40 @@ def task_means(scores: DataFrame) -> DataFrame:
         "conv_id", "mode", "metric").agg(F.avg("value").alias("value")).where("value IS NOT NULL")
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Lentz evaluation of the incomplete-beta continued fraction."""
-    tiny, c = 1e-30, 1.0
-    d = 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
-    h = d
-    for m in range(1, 201):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1.0 + term * d or tiny)
-            c = 1.0 + term / c or tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-12:
-            break
-    return h
-
-
-def two_tailed_p(t: float, df: float) -> float:
-    if df <= 0 or t == 0.0:
-        return 1.0
-    a, b, x = 0.5 * df, 0.5, df / (df + t * t)
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        value = front * _betacf(a, b, x) / a
-    else:
-        value = 1.0 - front * _betacf(b, a, 1.0 - x) / b
-    return max(0.0, min(1.0, value))
+def _log_gamma_step_sql(a: str) -> str:
+    """ln(gamma(a + 1/2) / gamma(a)): carried up sixteen steps, where the asymptotic series is exact to 1e-14."""
+    z = f"({a} + 16D)"
+    series = f"0.5D * ln({z}) - 1D / (8D * {z}) + 1D / (192D * pow({z}, 3)) - 1D / (640D * pow({z}, 5)) + 17D / (14336D * pow({z}, 7))"
+    return f"({series} + aggregate(sequence(0, 15), 0D, (acc, i) -> acc + ln(({a} + i) / ({a} + i + 0.5D))))"
 
 
-def student_t_p(t: str, df: str) -> Column:
-    """Two-tailed p of a few aggregated rows, in Arrow batches."""
-    one = two_tailed_p
+def _beta_fraction_sql(a: str, b: str, x: str, terms: int = 400) -> str:
+    """The incomplete-beta continued fraction by Lentz's recurrence, two terms for each of its levels."""
+    m = "(i div 2)"
+    even = f"{m} * ({b} - {m}) * {x} / (({a} + 2 * {m} - 1) * ({a} + 2 * {m}))"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / (({a} + 2 * {m}) * ({a} + 2 * {m} + 1))"
+    term = f"(CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END)"
+    apart = lambda v: f"coalesce(nullif({v}, 0D), 1e-30D)"
+    d, c = f"(1D / {apart(f'1D + {term} * s.d')})", apart(f"1D + {term} / s.c")
+    first = f"(1D / {apart(f'1D - ({a} + {b}) * {x} / ({a} + 1D)')})"
+    return (f"aggregate(sequence(2, {terms + 1}), named_struct('d', {first}, 'c', 1D, 'h', {first}), "
+            f"(s, i) -> named_struct('d', {d}, 'c', {c}, 'h', s.h * {d} * {c}), s -> s.h)")
 
-    def batch(ts: pd.Series, dfs: pd.Series) -> pd.Series:
-        return pd.Series([one(float(a), float(b)) for a, b in zip(ts, dfs)])
 
-    return F.pandas_udf(batch, "double")(F.col(t), F.col(df))
+def student_t_p(t: str, df: str) -> Column:
+    """Two-tailed p of Student's t, without leaving the JVM.
+
+    No degrees of freedom or t = 0 give 1; a NULL in either column gives NULL.
+    """
+    tail, rest = f"(1D / (1D + {df} / {t} / {t}))", f"(1D / (1D + {t} / {df} * {t}))"
+    front = (f"exp({_log_gamma_step_sql('v.half')} - 0.5D * ln(pi()) + v.half * ln(v.rest) + 0.5D * ln(v.tail))")
+    near, far = _beta_fraction_sql("v.half", "0.5D", "v.rest"), _beta_fraction_sql("0.5D", "v.half", "v.tail")
+    value = (f"CASE WHEN v.rest < (v.half + 1D) / (v.half + 2.5D) THEN {front} * {near} / v.half "
+             f"ELSE 1D - {front} * {far} / 0.5D END")
+    held = f"array(named_struct('half', {df} / 2D, 'tail', {tail}, 'rest', {rest}))"
+    return F.expr(
+        f"CASE WHEN {t} IS NULL OR {df} IS NULL THEN NULL WHEN {df} <= 0 OR {t} = 0 THEN 1D "
+        f"WHEN {tail} = 0 THEN 1D WHEN {rest} = 0 THEN 0D ELSE greatest(0D, least(1D, transform({held}, v -> {value})[0])) END")
 
 
 def sign_test_sql(wins: str, losses: str) -> str:

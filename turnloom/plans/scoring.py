@@ -302,7 +302,7 @@ def compare_modes(spark, sf):
 
 @query
 def compare_p_values(spark, sf):
-    """Two-tailed p values; the t distribution has no SQL twin here."""
+    """Two-tailed p values of the paired differences."""
     pairs = paired.comparison_pairs(MODE_NAMES)
     return paired.paired_differences(scores(workspace(spark, sf)), pairs).select(
         "mode_a", "mode_b", "metric", "t_statistic", "p_value")
