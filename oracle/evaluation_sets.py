@@ -67,6 +67,6 @@ JOIN (SELECT conv_id, max(introduced_turn) FILTER (WHERE role <> 'absent') AS la
   string_agg(fact_id || ':' || introduced_turn, '|' ORDER BY fact_id || ':' || introduced_turn) FILTER (WHERE role <> 'absent') AS fact_turns
  FROM facts GROUP BY conv_id) f USING (conv_id)""")
 STATEMENTS["eval_manifest"] = compose(["tasks", "transcript"], f"""
-SELECT category, count(*) AS tasks, round_even(avg(tokens), 1) AS mean_tokens,
- CAST(sum(('0x' || left(sha256(conv_id || E'\\n' || question || E'\\n' || expected_answer), 8))::BIGINT) AS BIGINT) AS digest_sum
-FROM tasks JOIN (SELECT conv_id, sum({S.est('content')}) AS tokens FROM transcript GROUP BY conv_id) USING (conv_id) GROUP BY category""")
+SELECT category, count(*) AS tasks, round_even(avg(tokens), 1) AS mean_tokens, any_value(digest) AS digest
+FROM tasks JOIN (SELECT conv_id, sum({S.est('content')}) AS tokens FROM transcript GROUP BY conv_id) USING (conv_id)
+JOIN {S.ordered_digest('tasks', 'category', 'conv_id', "conv_id || E'\\n' || question || E'\\n' || expected_answer")} d USING (category) GROUP BY category""")

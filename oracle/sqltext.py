@@ -91,3 +91,13 @@ def preview(x: str, limit: int = 160) -> str:
 
 def join_list(x: str, sep: str = "|") -> str:
     return f"array_to_string({x}, '{sep}')"
+
+
+def ordered_digest(source: str, key: str, order: str, leaf: str, fan: int = 256, levels: int = 5) -> str:
+    """(key, n, digest) of a hash tree over the rows of each key in their order."""
+    nodes = (f"(SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY {order} NULLS FIRST, node) - 1 AS place, 1 AS n, node "
+             f"FROM (SELECT {key}, {order}, sha256({leaf}) AS node FROM {source}))")
+    for _ in range(levels):
+        nodes = (f"(SELECT {key}, place // {fan} AS place, CAST(sum(n) AS BIGINT) AS n, CASE WHEN count(*) = 1 THEN min(node) "
+                 f"ELSE sha256(string_agg(node, '' ORDER BY place)) END AS node FROM {nodes} t GROUP BY {key}, place // {fan})")
+    return f"(SELECT {key}, n, sha256(n || ':' || node) AS digest FROM {nodes} t)"

@@ -38,9 +38,10 @@ T["text_answers"] = f"""SELECT conv_id, turn, md5(n) AS digest, {S.any_phrase('n
 T["text_token_costs"] = f"""SELECT doc_id, {S.est('text')} AS estimate, ceil(length(text) / 3.5e0)::BIGINT AS ratio,
  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words,
  md5(CASE WHEN length(text) <= 200 THEN text ELSE rtrim(left(text, 198)) || ' …' END) AS cut FROM documents"""
-T["text_conversation_digest"] = """SELECT conv_id, count(*) AS messages, CAST(sum(('0x' || left(d, 8))::BIGINT * (turn + 1)) AS BIGINT) AS digest,
- min(left(sha256(d), 12)) AS first_id
-FROM (SELECT conv_id, turn, sha256(CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant', 'tool') THEN lower(trim(role)) ELSE 'user' END || E'\\n' || text) AS d FROM conversations) GROUP BY conv_id"""
+_MESSAGE = """CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant', 'tool') THEN lower(trim(role)) ELSE 'user' END
+ || E'\\n' || coalesce(text, '') || E'\\n'"""
+T["text_conversation_digest"] = f"""SELECT conv_id, n AS messages, digest, first_id FROM {S.ordered_digest('conversations', 'conv_id', 'turn', _MESSAGE)}
+JOIN (SELECT conv_id, min(left(sha256(sha256({_MESSAGE})), 12)) AS first_id FROM conversations GROUP BY conv_id) USING (conv_id)"""
 T["text_message_costs"] = f"SELECT conv_id, CAST(sum({S.est('text')} + 4) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id"
 
 _BODY = f"(SELECT doc_id, {pick(P.PROBES, draw('doc_id', 31, len(P.PROBES)))} || E'\\n' || text AS body FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
-from turnloom.operators import evalset
+from turnloom.operators import digests, evalset
 from turnloom.plans.registry import query
 from turnloom.plans.workspace import workspace
 
@@ -122,15 +122,11 @@ def eval_distances(spark, sf):
 
 @query
 def eval_manifest(spark, sf):
-    """Task count, per-category counts, mean tokens and a digest of per-task digests."""
+    """Task count, per-category counts, mean tokens and a digest of the tasks in the order of their ids."""
     space = workspace(spark, sf)
     sized = space.transcript.groupBy("conv_id").agg(F.sum(X.estimate_tokens("content")).alias("tokens"))
-    per_task = space.tasks.join(sized, "conv_id").select(
-        "category", "tokens",
-        F.sha2(F.concat_ws("\n", F.col("conv_id").cast("string"), "question", "expected_answer"), 256)
-        .alias("digest"))
-    # Digests add up as integers, so the result does not depend on any order.
-    word = F.conv(F.left("digest", F.lit(8)), 16, 10).cast("long")
-    return per_task.groupBy("category").agg(
-        F.count("*").alias("tasks"), F.bround(F.avg("tokens"), 1).alias("mean_tokens"),
-        F.sum(word).alias("digest_sum"))
+    counts = space.tasks.join(sized, "conv_id").groupBy("category").agg(
+        F.count("*").alias("tasks"), F.bround(F.avg("tokens"), 1).alias("mean_tokens"))
+    task = F.concat_ws("\n", F.col("conv_id").cast("string"), "question", "expected_answer")
+    sealed = digests.ordered_digest(space.tasks, ["category"], "conv_id", task, "digest")
+    return counts.join(sealed, "category").select("category", "tasks", "mean_tokens", "digest")

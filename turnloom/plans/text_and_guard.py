@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import credentials as CR
 from turnloom.functions import guard as G
 from turnloom.functions import text as X
-from turnloom.operators import evalset
+from turnloom.operators import digests, evalset
 from turnloom.plans.registry import query
 from turnloom.plans.workspace import workspace
 
@@ -132,13 +132,12 @@ def text_token_costs(spark, sf):
 
 @query
 def text_conversation_digest(spark, sf):
-    """Messages per conversation and an order-bound digest from per-message digests."""
+    """Messages per conversation, a digest bound to their order, and the least message id."""
     rows = workspace(spark, sf).turns.select(
-        "conv_id", "turn", F.sha2(F.concat_ws("\n", X.coerce_role("role"), "text"), 256).alias("d"))
-    word = F.conv(F.left("d", F.lit(8)), 16, 10).cast("long")
-    return rows.groupBy("conv_id").agg(
-        F.count("*").alias("messages"), F.sum(word * (F.col("turn") + 1)).alias("digest"),
-        F.min(X.stable_id("d")).alias("first_id"))
+        "conv_id", "turn", F.concat_ws("\n", X.coerce_role("role"), F.coalesce("text", F.lit("")), F.lit("")).alias("message"))
+    ids = rows.groupBy("conv_id").agg(F.min(X.stable_id(F.sha2("message", 256))).alias("first_id"))
+    return digests.ordered_digest(rows, ["conv_id"], "turn", F.col("message"), "digest").join(ids, "conv_id").select(
+        "conv_id", F.col("n").alias("messages"), "digest", "first_id")
 
 
 @query
