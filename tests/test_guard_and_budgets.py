@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,41 @@ def test_scan_json(spark):
     assert [(r.name, r.pointer) for r in CR.scan_json_fields(rows, ["i"], "t").collect()] == [("openai_key", "@25")]
 
 
+def test_shapes_inside_json_values(spark):
+    key = "sk-" + "a1B2c3D4e5F6g7H8"
+    body = json.dumps({"a": [1, True, None, {"note": f"use {key} and {key}"}], "token": f"hold {key}", "plain": ["é " + key]})
+    deep = "[" * 200_000 + f'"{key}"' + "]" * 200_000
+    rows = spark.createDataFrame([(1, body), (2, deep), (3, None), (4, ""), (5, "{}"), (6, f'"{key}"'), (None, body)], "name int, t string")
+    rows = rows.withColumnsRenamed({"name": "offset"})
+    found = CR.scan_json_fields(rows, ["offset"], "t").collect()
+    whole = sorted([("openai_key", "$.a[3].note"), ("openai_key", "$.a[3].note"), ("openai_key", "$.plain[0]"),
+                    ("openai_key", "$.token"), ("token", "$.token")])
+    at = lambda i: sorted((r.name, r.pointer) for r in found if r.offset == i)
+    assert at(1) == whole == at(None)
+    assert at(2) == [("openai_key", "@200001")] and at(6) == [("openai_key", "$")]
+    assert {r.offset for r in found} == {1, 2, 6, None}
+    assert {r.preview for r in found if r.name == "token"} == {"hol…[24 chars]"}
+    assert CR.scan_json_fields(rows.limit(0), ["offset"], "t").count() == 0
+
+
+def test_half_of_a_surrogate_pair(spark):
+    rows = spark.createDataFrame([(1, '{"token": "\\ud800 kept", "\\ud800": "x"}')], "i int, t string")
+    assert [(r.name, r.preview) for r in CR.scan_json_fields(rows, ["i"], "t").collect()] == [("token", "[6 chars]")]
+    assert rows.select(CR.redact_json("t").alias("t")).first().t == '{"?":"x"}'
+
+
+def test_nested_redaction(spark):
+    key = "sk-" + "a1B2c3D4e5F6g7H8"
+    texts = [
+        json.dumps({"x": {"API-Key": {"deep": 1}, "list": [{"password": None, "n": 1.5}, f"é {key} s3cret-longer s3cret"]}, "ok": None}),
+        "api_key=abc trailing", '"bearer abcdef"', "[]", "", None, "[" * 200_000 + key + "]" * 200_000, "[" * 900 + f'"{key}"' + "]" * 900]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = [r.t for r in rows.select("i", CR.redact_json("t", ["s3cret", "s3cret-longer"]).alias("t")).orderBy("i").collect()]
+    assert json.loads(out[0]) == {"x": {"list": [{"n": 1.5}, "é [redacted] [redacted] [redacted]"]}, "ok": None}
+    assert out[1:6] == ["api_key=[redacted] trailing", '"bearer [redacted]"', "[]", "", None]
+    assert key not in out[6] and out[6].count("[") == 200_001 and out[7] == "[" * 900 + '"[redacted]"' + "]" * 900
+
+
 def test_run_budget_stops_at_the_request_ceiling(spark):
     rows = spark.createDataFrame([("s", i, 1, 1, False) for i in range(1, 6)],
                                  "k string, seq int, prompt_tokens long, charged long, failed boolean")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import sys
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import guard as G
@@ -58,8 +59,8 @@ def may_hold_sql(text: str, category: str) -> str:
     return " AND ".join(f"({t})" for t in tests if t)
 
 
-def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, category, offset, preview) per credential-shaped string; offsets are bytes."""
+def _shapes(frame: DataFrame, keys: list[str], text: str, passing: str = "") -> DataFrame:
+    """(keys, category, offset, preview) per credential-shaped string; rows under ``passing`` come through once, without a category."""
     parts = []
     for category, pattern in CREDENTIALS.items():
         p = lit_sql(_regex(pattern))
@@ -67,7 +68,11 @@ def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
         parts.append(
             f"CASE WHEN {may_hold_sql(text, category)} AND rlike({text}, {p}) THEN named_struct('category', '{category}', "
             f"'found', regexp_extract_all({text}, {p}, 0), 'value', {value}, 'gaps', split({text}, {p}, -1)) END")
-    hits = frame.select(*keys, F.explode(F.expr(f"array_compact(array({', '.join(parts)}))")).alias("h"))
+    found = f"array_compact(array({', '.join(parts)}))"
+    if passing:
+        as_it_is = ("named_struct('category', cast(null AS string), 'found', array(''), 'value', array(''), 'gaps', array('', ''))")
+        found = f"CASE WHEN {passing} THEN array({as_it_is}) ELSE {found} END"
+    hits = frame.select(*keys, F.explode(F.expr(found)).alias("h"))
     rows = hits.select(*keys, "h.category", F.explode(F.expr(
         "transform(h.found, (m, i) -> named_struct('match', m, 'value', h.value[i], 'tail', left(h.gaps[i + 1], 1), "
         "'offset', aggregate(slice(h.gaps, 1, i + 1), 0L, (acc, g) -> acc + octet_length(g)) "
@@ -75,10 +80,15 @@ def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
     generated = (
         f"f.tail <> '(' AND NOT rlike(f.value, {lit_sql(_regex(PLACEHOLDER))}) AND "
         "(rlike(f.value, '[0-9]') OR (rlike(f.value, '[A-Z]') AND rlike(f.value, '[a-z]')))")
-    return rows.where(f"category <> 'key_value_assignment' OR ({generated})").select(
+    return rows.where(f"category IS NULL OR category <> 'key_value_assignment' OR ({generated})").select(
         *keys, "category", F.col("f.offset").alias("offset"), G.mask_secret("f.match").alias("preview"))
 
 
+def scan_text(frame: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, category, offset, preview) per credential-shaped string; offsets are bytes."""
+    return _shapes(frame, keys, text)
+
+
 def mask_shapes(frame: DataFrame, text: str, out: str) -> DataFrame:
     """Replace every credential-shaped string by its masked shape, pattern after pattern."""
     frame = frame.withColumn(out, F.col(text))
@@ -107,50 +117,119 @@ def known_secrets(frame: DataFrame, keys: list[str], text: str, secrets: list[st
     return rows.select(*keys, F.lit("known_secret").alias("category"), G.mask_secret("_s").alias("preview"))
 
 
+def _parsed(text: str):
+    """The value of a JSON text in a tuple; None for what is no JSON, or is nested too deeply to be read."""
+    import json
+
+    try:
+        return (json.loads(text),)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _encodable(text: str) -> str:
+    """Halves of surrogate pairs, which JSON can spell and UTF-8 cannot, become question marks."""
+    return text.encode("utf-8", "replace").decode("utf-8")
+
+
 def scan_json_fields(frame: DataFrame, keys: list[str], json_column: str) -> DataFrame:
-    """(keys, name, pointer, preview) per secret-named field that holds a value, at any depth.
+    """(keys, name, pointer, preview) per secret-named field that holds a value, and per credential shape in a text value, at any depth.
 
-    Text that is no JSON is scanned as it stands: then name is the category and pointer ``@`` with the byte offset.
+    For a shape, name is its category and pointer that of the value that holds it. Text that is no JSON is scanned as it
+    stands: then pointer is ``@`` with the byte offset. NULL has no findings. Texts are walked in Arrow batches, once;
+    shapes are looked for in the JVM.
     """
-    import json
-
     names, empty = frozenset(G.SECRET_FIELDS), EMPTY_VALUES
 
-    def walk(value, pointer, out):
-        if isinstance(value, dict):
-            for key, item in value.items():
-                name, child = key.strip().lower().replace("-", "_").replace(" ", "_"), f"{pointer}.{key}"
-                text = "" if item is None else str(item)
-                if name in names and text.strip().lower() not in empty:
-                    shape = f"[{len(text)} chars]" if len(text) <= 8 else f"{text[:3]}…[{len(text)} chars]"
-                    out.append((name, child, shape))
-                walk(item, child, out)
-        elif isinstance(value, list):
-            for i, item in enumerate(value):
-                walk(item, f"{pointer}[{i}]", out)
-
-    def batches(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for record in pdf.itertuples(index=False):
-                found = []
-                try:
-                    walk(json.loads(record[-1]), "$", found)
-                except ValueError:
-                    found.append((None, None, record[-1]))
-                except TypeError:
-                    continue
-                rows.extend((*record[:-1], *f) for f in found)
-            yield pd.DataFrame(rows, columns=[*pdf.columns[:-1], "name", "pointer", "preview"])
-
-    source = frame.select(*keys, json_column)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    walked = source.mapInPandas(batches, f"{schema}, name string, pointer string, preview string")
-    raw = scan_text(walked.where("name IS NULL"), keys, "preview")
-    return walked.where("name IS NOT NULL").unionByName(raw.select(
-        *keys, F.col("category").alias("name"), F.concat(F.lit("@"), F.col("offset").cast("string")).alias("pointer"), "preview"))
+    def walk(value):
+        """(name, pointer, preview) of fields, (None, pointer, text) of texts."""
+        ahead = [(value, "$")]
+        while ahead:
+            value, pointer = ahead.pop()
+            if isinstance(value, dict):
+                for key, item in value.items():
+                    name, child = key.strip().lower().replace("-", "_").replace(" ", "_"), f"{pointer}.{key}"
+                    if name in names:
+                        text = "" if item is None else str(item)
+                        if text.strip().lower() not in empty:
+                            yield name, child, f"[{len(text)} chars]" if len(text) <= 8 else f"{text[:3]}…[{len(text)} chars]"
+                    ahead.append((item, child))
+            elif isinstance(value, list):
+                ahead.extend((item, f"{pointer}[{i}]") for i, item in enumerate(value))
+            elif isinstance(value, str):
+                yield None, pointer, value
+
+    def batches(arrived):
+        import pyarrow as pa
+
+        for batch in arrived:
+            places, found = [], []
+            for place, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                whole = () if text is None else _parsed(text)
+                met = [(None, None, text)] if whole is None else [f for value in whole for f in walk(value)]
+                places.extend([place] * len(met))
+                found.extend(met)
+            kept = [batch.column(i).take(pa.array(places, pa.int64())) for i in range(batch.num_columns - 1)]
+            parts = [pa.array([f[i] and _encodable(f[i]) for f in found], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(kept + parts, names=[*batch.schema.names[:-1], "_name", "_pointer", "_text"])
+
+    held = [f"_key{i}" for i in range(len(keys))]  # so that no key clashes with a name in here
+    source = frame.select(*[F.col(k).alias(h) for k, h in zip(keys, held)], F.col(json_column).alias("_json"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    walked = source.mapInArrow(batches, f"{schema}, _name string, _pointer string, _text string")
+    field = walked.select(*held, "_name", "_pointer", "_text", F.when(F.col("_name").isNotNull(), F.col("_text")).alias("_shown"))
+    rows = _shapes(field, [*held, "_name", "_pointer", "_shown"], "_text", "_name IS NOT NULL")
+    return rows.select(
+        *[F.col(h).alias(k) for h, k in zip(held, keys)], F.coalesce("_name", "category").alias("name"),
+        F.coalesce("_pointer", F.concat(F.lit("@"), F.col("offset").cast("string"))).alias("pointer"),
+        F.coalesce("_shown", "preview").alias("preview"))
+
+
+def redact_json(json_column: str, secrets: list[str] = ()) -> Column:
+    """JSON text without its secret-named fields at any depth, and with credentials in its texts redacted.
+
+    Known ``secrets`` go first, the longest first. Text that is no JSON is redacted as it stands; NULL stays NULL. Keys
+    keep their order, and of a key that an object repeats the last value stays.
+    """
+    import json
+    import re
+
+    names, exact = frozenset(G.SECRET_FIELDS), sorted({s for s in secrets if s}, key=lambda s: (-len(s), s))
+    scrubs = [(re.compile(G.BEARER), r"\1" + G.REDACTION_MARKER), (re.compile(G.KEY_VALUE), r"\1" + G.REDACTION_MARKER),
+              (re.compile(G.SHORT_KEY), G.REDACTION_MARKER)]
+
+    def scrub(text):
+        for secret in exact:
+            text = text.replace(secret, G.REDACTION_MARKER)
+        for pattern, kept in scrubs:
+            text = pattern.sub(kept, text)
+        return text
+
+    def clean(whole):
+        """Containers are emptied of what is secret in place, one after the other, so that depth needs no recursion."""
+        box = [whole]
+        ahead = [box]
+        while ahead:
+            held = ahead.pop()
+            for key in list(held) if isinstance(held, dict) else range(len(held)):
+                item = held[key]
+                if isinstance(held, dict) and key.lower().replace("-", "_") in names:
+                    del held[key]
+                elif isinstance(item, str):
+                    held[key] = scrub(item)
+                elif isinstance(item, (dict, list)):
+                    ahead.append(item)
+        return _encodable(json.dumps(box[0], ensure_ascii=False, separators=(",", ":")))
+
+    def one(text):
+        whole = _parsed(text)
+        return clean(whole[0]) if whole else scrub(text)
+
+    def batch(texts):
+        return texts.map(one, na_action="ignore")
+
+    batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "string")(F.col(json_column))
 
 
 def scan_report(files: DataFrame, findings: DataFrame, path: str, size: str) -> DataFrame:

@@ -245,15 +245,28 @@ def scan_known_secrets(spark, sf):
     return CR.known_secrets(leaky_documents(spark, sf), ["doc_id"], "body", [_KEY, "-----BEGIN RSA"])
 
 
-@query
-def scan_json_fields(spark, sf):
-    """Secret-named fields with a value anywhere in nested properties; a quarter of the bodies is no JSON and is scanned as text."""
+def nested_events(spark, sf):
+    """Event properties with more fields nested in them; a quarter of the bodies is no JSON."""
     events = workspace(spark, sf).table("events")
-    shapes = [", \"config\": {\"api_key\": \"value-nine-9\"}", ", \"list\": [{\"token\": null}, {\"Pass-Word\": \"x\"}]",
+    key = "sk-" + _KEY
+    shapes = [", \"config\": {\"api_key\": \"value-nine-9\", \"deep\": [[{\"note\": \"auth Bearer x\"}]]}",
+              ", \"list\": [{\"token\": null}, {\"Pass-Word\": \"x\"}, [\"é use " + key + "\"]]",
               ", \"secret\": \"none\", \"Client-Secret\": \"abc\"", ""]
     body = F.concat(F.expr("left(props, length(props) - 1)"), evalset.pick(shapes, F.col("event_id") % 4), F.lit("}"))
     body = F.when(F.col("event_id") % 4 == 3, F.concat("props", F.lit(" trailing api_key=" + _KEY))).otherwise(body)
-    return CR.scan_json_fields(events.select("event_id", body.alias("body")), ["event_id"], "body")
+    return events.select("event_id", body.alias("body"))
+
+
+@query
+def scan_json_fields(spark, sf):
+    """Secret-named fields with a value and credential shapes anywhere in nested properties; what is no JSON is scanned as text."""
+    return CR.scan_json_fields(nested_events(spark, sf), ["event_id"], "body")
+
+
+@query
+def guard_nested_redaction(spark, sf):
+    """Nested properties without secret-named fields and credentials."""
+    return nested_events(spark, sf).select("event_id", CR.redact_json("body", ["value-nine-9"]).alias("body"))
 
 
 @query

@@ -107,7 +107,8 @@ def session_export(turns: DataFrame, memories: DataFrame, usage: DataFrame, key:
     Long form keeps any session's size out of a single row; write it partitioned by session.
     """
     body = lambda frame, kind, order, content: frame.select(
-        key, F.lit(kind).alias("kind"), F.col(order).cast("long").alias("seq"), G.redact_patterns(content).alias("body"))
-    return (body(turns, "message", "turn", F.to_json(F.struct("role", "text")))
-            .unionByName(body(memories, "memory", "source_turn", F.to_json(F.struct("memory_type", "text"))))
+        key, F.lit(kind).alias("kind"), F.col(order).cast("long").alias("seq"), content.alias("body"))
+    text = G.redact_patterns("text").alias("text")  # before it is quoted, so that no pattern runs over the quotes
+    return (body(turns, "message", "turn", F.to_json(F.struct("role", text)))
+            .unionByName(body(memories, "memory", "source_turn", F.to_json(F.struct("memory_type", text))))
             .unionByName(body(usage, "usage", "requests", F.to_json(F.struct("requests", "tokens")))))
