@@ -70,13 +70,20 @@ _INTENT = f"list_filter(families, lambda f: list_contains({S.listing(G.INTENT)},
 T["guard_families"] = f"""SELECT doc_id, array_to_string(families, '|') AS families, array_to_string({_INTENT}, '|') AS intent
 FROM (SELECT doc_id, {families()} AS families FROM {variants(_BODY, 'doc_id', 'body')})"""
 _D, _M, _R = rx("(?i)" + G.DELIMITER), rx("(?i)" + G.TEMPLATE_MARKER), rx("(?im)" + G.ROLE_PREFIX.replace(r"[^\S\n]", r"[ \t\r\f\v]"))
-GUARDED = f"""(SELECT *, {_INTENT} AS intent, {S.collapse(f"regexp_replace(lines, {_R}, '', 'g')")} AS clean,
+
+
+def guarded(source: str, key: str) -> str:
+    """Neutralised ``body`` of every row, with what was found and removed."""
+    return f"""(SELECT *, {_INTENT} AS intent, {S.collapse(f"regexp_replace(lines, {_R}, '', 'g')")} AS clean,
   list_filter([CASE WHEN regexp_matches(body, {rx(G.CONTROL)}) THEN 'control_characters' END,
    CASE WHEN regexp_matches(body, {rx(G.INVISIBLE)}) THEN 'invisible_characters' END,
    CASE WHEN regexp_matches(visible, {_D}) OR regexp_matches(visible, {_M}) THEN 'delimiter_breakout' END,
    CASE WHEN regexp_matches(lines, {_R}) THEN 'role_smuggling' END], lambda v: v IS NOT NULL) AS removed
  FROM (SELECT *, {families()} AS families, replace(regexp_replace(regexp_replace(spaced, {_D}, '', 'g'), {_M}, '', 'g'), E'\\r', E'\\n') AS lines
-  FROM {variants(_BODY, 'doc_id', 'body')}))"""
+  FROM {variants(source, key, 'body')}))"""
+
+
+GUARDED = guarded(_BODY, "doc_id")
 T["guard_neutralize"] = f"""SELECT doc_id, CASE WHEN length(clean) > 600 THEN rtrim(left(clean, 600)) || ' …' ELSE clean END AS text,
  len(intent) > 0 AS suspicious, array_to_string(removed, '|') AS neutralized, length(clean) > 600 AS truncated FROM {GUARDED}"""
 T["guard_invisible"] = f"""SELECT doc_id, regexp_matches(body, {rx(G.INVISIBLE)}) AS had, length(regexp_replace(body, {rx(G.INVISIBLE)}, '', 'g')) AS chars FROM {_BODY}"""
