@@ -57,9 +57,6 @@ SELECT conv_id, mode, s AS fitted_system, {S.est('s')} AS system_tokens,
 FROM (SELECT *, CASE WHEN fit <= 0 THEN '' WHEN fit >= {_SYS} THEN {S.quote(P.SYSTEM_TEXT)} ELSE {_CUT} END AS s
  FROM (SELECT *, {_FIT} AS fit FROM ({plain('30')})))""")
 T["context_sum_of_parts"] = f"SELECT conv_id, mode, 0::BIGINT AS gap FROM (SELECT DISTINCT conv_id FROM conversations) c, (SELECT unnest({S.listing([m.mode for m in M.MODES])}) AS mode) m"
-T["context_sections"] = compose(["totals", "plain_modes"], f"""
-SELECT conv_id, mode, unnest(['system_tokens', 'memory_block_tokens', 'chunk_block_tokens', 'recent_history_tokens', 'current_message_tokens', 'overhead_tokens']) AS section,
- unnest([{_SYS}::BIGINT, 0, 0, kept_tokens, q, 4 * (2 + kept)]) AS tokens FROM ({plain('ceiling')})""")
 T["context_modes"] = f"""SELECT conv_id, mode, letter, coalesce(cap, -1)::BIGINT AS max_recent, mb::BIGINT AS memory_budget, cb::BIGINT AS chunk_budget
 FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES {S.values([(m.mode, m.letter, m.max_recent, m.memory_budget, m.chunk_budget) for m in M.MODES])}) v(mode, letter, cap, mb, cb)"""
 T["context_isolated"] = compose(["transcript"], f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle import retrieval  # noqa: F401  (its blocks)
 from oracle import sqltext as S
 from oracle.blocks import block, compose
 from oracle.statements import STATEMENTS as T

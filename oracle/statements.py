@@ -5,4 +5,4 @@ from __future__ import annotations
 STATEMENTS: dict[str, str] = {}
 
 from oracle import (  # noqa: E402,F401
-    duplicates, evaluation_sets, operations, replay, retrieval, scoring, selection, text_and_guard)
+    contexts, duplicates, evaluation_sets, operations, replay, retrieval, scoring, selection, text_and_guard)

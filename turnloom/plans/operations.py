@@ -89,7 +89,8 @@ def context_drops(spark, sf):
 
 @query
 def context_sections(spark, sf):
-    return workspace(spark, sf).contexts.token_breakdown().where(F.col("mode").isin(*[m.mode for m in PLAIN]))
+    """Prompt cost by section, every (task, mode)."""
+    return workspace(spark, sf).contexts.token_breakdown()
 
 
 @query
