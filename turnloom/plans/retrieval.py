@@ -26,13 +26,10 @@ def memory_candidates(spark, sf):
 
 @query
 def memory_selected(spark, sf):
-    """The first accepted candidates of each turn, from every document as a turn."""
-    documents = workspace(spark, sf).table("documents").select(
-        "doc_id", F.concat(F.lit("We decided the provider is fixed. It must not move! Is it? Every Friday at 17:00 "
-                                 "it runs. The goal is speed. "), "text").alias("content"))
+    """The first accepted candidates of each turn, from every whole document as a turn."""
+    documents = workspace(spark, sf).table("documents").select("doc_id", F.col("text").alias("content"))
     found = extraction.select_candidates(extraction.candidates(documents), ["doc_id"])
-    return found.select("doc_id", F.col("sentence_pos").cast("long").alias("sentence_pos"),
-                        X.preview("sentence", 60).alias("sentence"), "memory_type", "confidence")
+    return found.select("doc_id", F.col("sentence_pos").cast("long").alias("sentence_pos"), "sentence", "memory_type", "confidence")
 
 
 @query
@@ -45,17 +42,15 @@ def memory_observed(spark, sf):
 
 @query
 def memory_storability(spark, sf):
-    """Every planted statement is extracted and no filler is, per task."""
+    """Per task: planted statements, those that are stored, and stored memories that only given turns say."""
     space = workspace(spark, sf)
     stored = space.memories.select("conv_id", "text")
-    said = space.transcript.where("role = 'user'").select("conv_id", "fact_id", F.col("content").alias("text"))
-    facts = said.where("length(fact_id) > 0").join(
-        stored.withColumn("hit", F.lit(1)), ["conv_id", "text"], "left").groupBy("conv_id").agg(
+    planted = space.transcript.where("role = 'user' AND length(fact_id) > 0").select("conv_id", F.col("content").alias("text"))
+    facts = planted.join(stored.withColumn("hit", F.lit(1)), ["conv_id", "text"], "left").groupBy("conv_id").agg(
         F.count("*").alias("planted"), F.count("hit").alias("stored_facts"))
-    filler = said.where("text LIKE 'How does the rollout%'").join(
-        stored, ["conv_id", "text"], "left_semi").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return facts.join(filler, "conv_id", "left").select(
-        "conv_id", "planted", "stored_facts", F.coalesce("n", F.lit(0)).alias("stored_filler"))
+    given = stored.join(planted, ["conv_id", "text"], "left_anti").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return facts.join(given, "conv_id", "left").select(
+        "conv_id", "planted", "stored_facts", F.coalesce("n", F.lit(0)).alias("stored_given"))
 
 
 @query
