@@ -134,3 +134,22 @@ def _copied(name: str) -> str:
 
 
 T["conversation_contexts"] = compose([_copied("c_stats")], _STATS.replace("FROM c_stats", "FROM a_c_stats"))
+
+
+def _scrubbed(text: str) -> str:
+    """Fixed patterns of redaction, restated."""
+    names = "api[_-]?key|authorization|password|secret|token|access[_-]?token|auth[_-]?token|client[_-]?secret|refresh[_-]?token"
+    value = f"regexp_replace(regexp_replace({text}, '(?i)(\\bbearer\\s+)\\S+', '\\1[redacted]', 'g'), '(?i)(\\b(?:{names})\\b\\s*[=:]\\s*)\\S+', '\\1[redacted]', 'g')"
+    return f"regexp_replace({value}, '\\bsk-[A-Za-z0-9][A-Za-z0-9_-]{{3,}}\\b', '[redacted]', 'g')"
+
+
+T["sink_session_export"] = compose(["observed", "features"], f"""
+SELECT conv_id, kind, seq::BIGINT AS seq, md5(body) AS digest FROM (
+ SELECT conv_id, 'message' AS kind, turn AS seq, CAST(to_json({{'role': role, 'text': {_scrubbed('text')}}}) AS VARCHAR) AS body FROM conversations
+ UNION ALL SELECT conv_id, 'memory', source_turn, CAST(to_json({{'memory_type': memory_type, 'text': {_scrubbed('text')}}}) AS VARCHAR) FROM observed
+ UNION ALL SELECT conv_id, 'usage', requests, CAST(to_json({{'requests': requests, 'tokens': tokens}}) AS VARCHAR) FROM (
+  SELECT conv_id, count(*) AS requests, CAST(sum({S.est('text')}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id)
+ UNION ALL SELECT conv_id, 'security', turn, CAST(to_json({{'category': 'role_downgraded', 'detail': role}}) AS VARCHAR) FROM conversations
+  WHERE lower(trim(role)) IN ('system', 'tool', 'developer', 'function')
+ UNION ALL SELECT conv_id, 'security', source_turn, CAST(to_json({{'category': 'injection_detected', 'detail': {_scrubbed('text')}}}) AS VARCHAR)
+  FROM observed JOIN features USING (conv_id, memory_id) WHERE suspicious)""")

@@ -128,6 +128,13 @@ for _c, _p in CR.CREDENTIALS.items():
  FROM (SELECT doc_id, body, unnest(regexp_extract_all(body, {rx(shape(_p))})) AS m FROM {_LEAKY})""")
 SCAN = "(" + " UNION ALL ".join(_SCANS) + ")"
 T["scan_findings"] = f'SELECT doc_id, category, offset_ AS "offset", preview FROM {SCAN}'
+# Pattern after pattern: the text between the strings found, and their masks in between.
+_SHOWN = f"""(SELECT doc_id, {S.collapse(f"regexp_replace(b, {rx(G.INVISIBLE)}, '', 'g')")} AS t
+ FROM (SELECT doc_id, string_split(body, E'\\n')[-1] || ' ' || body AS b FROM {_LEAKY}))"""
+for _p in CR.CREDENTIALS.values():
+    _SHOWN = f"""(SELECT doc_id, CASE WHEN len(m) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce({mask('m[i]')}, '')), '') END AS t
+ FROM (SELECT doc_id, t, regexp_extract_all(t, {rx(shape(_p))}) AS m, regexp_split_to_array(t, {rx(shape(_p))}) AS g FROM {_SHOWN}))"""
+T["guard_previews"] = f"SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE left(t, 159) || '…' END AS preview FROM {_SHOWN}"
 _KNOWN = [P._KEY, "-----BEGIN RSA"]
 T["scan_known_secrets"] = " UNION ALL ".join(
     f"SELECT doc_id, 'known_secret' AS category, {mask(S.quote(k))} AS preview FROM {_LEAKY} WHERE contains(body, {S.quote(k)})" for k in _KNOWN)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from turnloom.functions import guard as G
 from turnloom.functions import text as X
 from turnloom.operators import budgets, packing
 from turnloom.operators import chunks as C
@@ -299,7 +300,12 @@ def sink_delete(spark, sf):
 
 @query
 def sink_session_export(spark, sf):
+    """Every session's messages, memories, usage and findings as scrubbed rows, with a digest of each body."""
     space = workspace(spark, sf)
     usage = space.turns.groupBy("conv_id").agg(F.count("*").alias("requests"), F.sum(X.estimate_tokens("text")).alias("tokens"))
-    rows = tables.session_export(space.turns, space.memories, usage, "conv_id")
-    return rows.groupBy("conv_id", "kind").agg(F.count("*").alias("n"))
+    security = space.turns.where(G.role_was_privileged("role")).select(
+        "conv_id", "turn", F.lit("role_downgraded").alias("category"), F.col("role").alias("detail"))
+    security = security.unionByName(space.memories.where("suspicious").select(
+        "conv_id", F.col("source_turn").alias("turn"), F.lit("injection_detected").alias("category"), F.col("text").alias("detail")))
+    rows = tables.session_export(space.turns, space.memories, usage, "conv_id", security=security)
+    return rows.select("conv_id", "kind", "seq", F.md5("body").alias("digest"))

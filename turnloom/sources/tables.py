@@ -101,14 +101,22 @@ def delete_keys(rows: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFram
     return rows.join(doomed.select(*keys).distinct(), keys, "left_anti")
 
 
-def session_export(turns: DataFrame, memories: DataFrame, usage: DataFrame, key: str) -> DataFrame:
+def session_export(turns: DataFrame, memories: DataFrame, usage: DataFrame, key: str,
+                   runs: DataFrame | None = None, security: DataFrame | None = None) -> DataFrame:
     """Rows of one long export per session, kind by kind and in order, secrets scrubbed.
 
-    Long form keeps any session's size out of a single row; write it partitioned by session.
+    ``runs`` has (key, run, mode, final_tokens), ``security`` (key, turn, category, detail); either may be left out.
+    Long form keeps any session's size out of a single row; write it partitioned by session. Texts are redacted before
+    they are quoted, so that no pattern runs over the quotes. NULL fields are left out of a body.
     """
-    body = lambda frame, kind, order, content: frame.select(
-        key, F.lit(kind).alias("kind"), F.col(order).cast("long").alias("seq"), content.alias("body"))
-    text = G.redact_patterns("text").alias("text")  # before it is quoted, so that no pattern runs over the quotes
-    return (body(turns, "message", "turn", F.to_json(F.struct("role", text)))
-            .unionByName(body(memories, "memory", "source_turn", F.to_json(F.struct("memory_type", text))))
-            .unionByName(body(usage, "usage", "requests", F.to_json(F.struct("requests", "tokens")))))
+    body = lambda frame, kind, order, *fields: frame.select(
+        key, F.lit(kind).alias("kind"), F.col(order).cast("long").alias("seq"), F.to_json(F.struct(*fields)).alias("body"))
+    clean = lambda name: G.redact_patterns(name).alias(name)
+    rows = body(turns, "message", "turn", "role", clean("text"))
+    rows = rows.unionByName(body(memories, "memory", "source_turn", "memory_type", clean("text")))
+    rows = rows.unionByName(body(usage, "usage", "requests", "requests", "tokens"))
+    if runs is not None:
+        rows = rows.unionByName(body(runs, "run", "run", "mode", "final_tokens"))
+    if security is not None:
+        rows = rows.unionByName(body(security, "security", "turn", "category", clean("detail")))
+    return rows
