@@ -6,8 +6,10 @@ import re
 
 from oracle import operations, selection  # noqa: F401  (their blocks)
 from oracle import sqltext as S
-from oracle.blocks import BLOCKS, block, compose
+from oracle.blocks import BLOCKS, block, compose, pick
 from oracle.statements import STATEMENTS as T
+from turnloom.plans.text_and_guard import _KEY as KEY
+from turnloom.plans.text_and_guard import LEAKS
 
 # Fixed values, restated ----------------------------------------------------------
 SYSTEM = "You answer questions about the conversation. Say so when you do not know."
@@ -153,3 +155,9 @@ SELECT conv_id, kind, seq::BIGINT AS seq, md5(body) AS digest FROM (
   WHERE lower(trim(role)) IN ('system', 'tool', 'developer', 'function')
  UNION ALL SELECT conv_id, 'security', source_turn, CAST(to_json({{'category': 'injection_detected', 'detail': {_scrubbed('text')}}}) AS VARCHAR)
   FROM observed JOIN features USING (conv_id, memory_id) WHERE suspicious)""")
+
+_HELD = f"coalesce(text, '') || ' ' || {pick(LEAKS, f'turn % {len(LEAKS)}')}"
+_WHOLE = f"""CAST(to_json({{'turn': turn, 'message': {{'role': role, 'text': {_HELD}, 'meta': {{'API-Key': {S.quote(KEY)}, 'list': [{{'password': 'x', 'n': 1}}]}}}}}}) AS VARCHAR) || ' trailing'"""
+_REST = "replace({}, " + S.quote(KEY) + ", '[redacted]')"
+T["guard_nested_redaction"] = f"""SELECT conv_id, turn, md5(CASE WHEN turn % 4 = 3 THEN {_scrubbed(_REST.format(_WHOLE))} ELSE CAST(to_json(
+ {{'turn': turn, 'message': {{'role': role, 'text': {_scrubbed(_REST.format(_HELD))}, 'meta': {{'list': [{{'n': 1}}]}}}}}}) AS VARCHAR) END) AS digest FROM conversations"""

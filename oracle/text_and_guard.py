@@ -142,11 +142,6 @@ T["scan_json_fields"] = """SELECT event_id, 'api_key' AS name, '$.config.api_key
 UNION ALL SELECT event_id, 'openai_key', '$.list[2][0]', 'sk-…[23 chars]' FROM events WHERE event_id % 4 = 1
 UNION ALL SELECT event_id, 'client_secret', '$.Client-Secret', '[3 chars]' FROM events WHERE event_id % 4 = 2
 UNION ALL SELECT event_id, 'key_value_assignment', '@' || (strlen(props) + 10), 'api…[28 chars]' FROM events WHERE event_id % 4 = 3"""
-T["guard_nested_redaction"] = """SELECT event_id, CASE event_id % 4
-  WHEN 0 THEN left(p, -1) || ',"config":{"deep":[[{"note":"auth Bearer [redacted]"}]]}}'
-  WHEN 1 THEN left(p, -1) || ',"list":[{},{"Pass-Word":"x"},["é use [redacted]"]]}'
-  WHEN 2 THEN p ELSE props || ' trailing api_key=[redacted]' END AS body
-FROM (SELECT event_id, props, replace(props, ' ', '') AS p FROM events)"""
 T["scan_report"] = f"""SELECT count(*) AS files_scanned, CAST(sum(strlen(body)) AS BIGINT) AS bytes_scanned, 0::BIGINT AS files_skipped,
  (SELECT count(*) FROM {SCAN}) AS finding_count, (SELECT count(*) FROM {SCAN}) = 0 AS clean FROM {_LEAKY}"""
 T["scan_quarantine"] = f"SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM {SCAN}) THEN 'held' ELSE 'published' END AS fate FROM documents"

@@ -265,8 +265,14 @@ def scan_json_fields(spark, sf):
 
 @query
 def guard_nested_redaction(spark, sf):
-    """Nested properties without secret-named fields and credentials."""
-    return nested_events(spark, sf).select("event_id", CR.redact_json("body", ["value-nine-9"]).alias("body"))
+    """Every turn with a credential, as a nested record; a quarter of the records is broken JSON."""
+    turns = workspace(spark, sf).turns
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), evalset.pick(LEAKS, F.col("turn") % len(LEAKS)))
+    meta = F.struct(F.lit(_KEY).alias("API-Key"), F.array(F.struct(F.lit("x").alias("password"), F.lit(1).alias("n"))).alias("list"))
+    record = F.to_json(F.struct("turn", F.struct("role", text.alias("text"), meta.alias("meta")).alias("message")))
+    body = F.when(F.col("turn") % 4 == 3, F.concat(record, F.lit(" trailing"))).otherwise(record)
+    rows = turns.select("conv_id", "turn", body.alias("body"))
+    return rows.select("conv_id", "turn", F.md5(CR.redact_json("body", [_KEY])).alias("digest"))
 
 
 @query
