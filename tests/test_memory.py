@@ -119,3 +119,25 @@ def test_every_sentence_of_a_benchmark_item_is_a_marker(spark, tmp_path):
                           "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, score_benchmark_passages(spark, str(tmp_path)).collect()))
     assert got == [(1, "a later sentence of some eight words here", 3), (1, "short one", 1), (2, "alone", 2)]
+
+
+SAID = [
+    "İ wıll never usе it, the tasK stays.", "The taſk must not move.", "We uſe the projecт and it İS deployed.",
+    "By the way the project is staging.", "CHIT-CHAT is what we need.", "Deadline: every day at 10:30 it runs.", "Der Krämer sagt, the provider IS café.",
+    "Please fix the étude today.", "Not café, it's tea.", "The hall (日本) needs light.", "I'm thinking of it is.", "Let's us see the deployment runs.",
+    "This island was seen.", "Objective: aim to wın.", "Need to add a lamp here.", "The harbour_is closed.", "ten."]
+
+
+def test_anchors_and_plain_patterns_agree(spark, monkeypatch):
+    """Verdicts are those of the full patterns on every sentence, also with letters that only folding makes equal."""
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*SAID, " ".join(SAID), None])], "id int, content string")
+    verdicts = lambda: sorted(tuple(r) for r in EX.candidates(rows).collect())
+    got, patterns = verdicts(), {p for _, _, ps in EX.RULES for p in ps} | {EX.FILLER}
+    assert patterns - {EX.STATEMENT} == set(EX.ANCHORS)
+    monkeypatch.setattr(EX, "_found", lambda x, low, pattern: EX._matches(x, pattern))
+    assert got == verdicts() and len({r[3] for r in got}) >= 5
+
+
+def test_rules_are_not_repeated_in_a_filter(spark):
+    plan = EX.candidates(spark.createDataFrame([(1, "a b.")], "id int, content string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("PROJECT_STATE") == 1
