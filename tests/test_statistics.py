@@ -78,3 +78,31 @@ def test_failure_mix(spark):
     got = {r["mode"]: r for r in paired.mix_distance(paired.failure_mix(counts, ["a", "b", "c"])).collect()}
     assert got["m"].distance == 0.75 and got["full_context"].distance == 0.0
     assert got["m"].largest_divergence == "c" and got["m"].top_label == "c"
+
+
+def test_paired_differences_without_a_join(spark):
+    """Modes of one task meet in one row, whatever trials, NULL metrics and NULL tasks there are."""
+    schema = ("conv_id long, mode string, verdict string, faithfulness double, evidence_in_prompt boolean, recall double, "
+              "final_tokens long, token_savings long, qae double, latency_ms double")
+    row = lambda task, mode, recall, latency: (task, mode, "correct", 1.0, True, recall, 10, 1, 0.1, latency)
+    rows = spark.createDataFrame([
+        row(1, "a", 0.5, 3.0), row(1, "a", 1.0, None), row(1, "b", 0.25, None), row(2, "a", 0.5, None), row(2, "b", None, 4.0),
+        row(3, "a", 1.0, 7.0), row(3, "b", 0.5, 4.0), row(None, "a", 1.0, 1.0), row(None, "b", 0.0, 1.0), row(4, None, 1.0, 1.0)], schema)
+    found = paired.paired_differences(rows, [("a", "b"), ("b", "c")])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.mode_a, r.mode_b, r.metric): r for r in found.collect()}
+    assert {(a, b) for a, b, _ in got} == {("a", "b")} and got[("a", "b", "accuracy")].sample_size == 3
+    recall, latency = got[("a", "b", "retrieval_recall")], got[("a", "b", "latency_ms")]
+    assert (recall.sample_size, recall.mean_difference, recall.wins) == (2, 0.5, 2)
+    assert (latency.sample_size, latency.mean_a, latency.mean_b) == (1, 7.0, 4.0)
+    assert paired.task_means(rows.where("conv_id = 1 AND mode = 'a'")).where("metric = 'retrieval_recall'").first().value == 0.75
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    from turnloom.operators import scoring
+
+    items = spark.createDataFrame([(1, "the lamp")], "conv_id long, text string")
+    tasks = spark.createDataFrame([(1, [("fact-1", "durable", ["lamp"])])], "conv_id long, facts array<struct<fact_id:string,fact_type:string,markers:array<string>>>")
+    found = scoring.detect_facts(items, tasks, ["conv_id"], "text")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "fact-1")]
