@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from turnloom.operators import leaders
+from turnloom.session import written
 
 
 def walked(rows, threshold=leaders.THRESHOLD):
@@ -67,3 +69,37 @@ def test_plan_has_no_cross_join(spark):
     frame = spark.createDataFrame([(1, 1, ["a"])], "id long, place long, tokens array<string>")
     plan = leaders.leader_dedupe(frame, "id", "place", "tokens")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and F.lit(1) is not None
+
+
+def test_similar_sets_share_parts():
+    pick = np.random.default_rng(5)
+    for n in [*range(8, 60), 150, 333, 1000]:
+        for _ in range(20):
+            one = pick.integers(-2 ** 63, 2 ** 63 - 1, n)
+            gone = pick.integers(0, n)
+            two = np.concatenate([one[gone:], pick.integers(-2 ** 63, 2 ** 63 - 1, pick.integers(0, n // 7 + 1))])
+            both, every = len(np.intersect1d(one, two)), len(np.union1d(one, two))
+            if both / every < leaders.THRESHOLD:
+                two = one[:-1]
+                if (n - 1) / n < leaders.THRESHOLD:
+                    continue
+            found, counts = leaders._signatures(np.concatenate([one, two]), np.cumsum([0, len(one), len(two)]), leaders.THRESHOLD)
+            assert counts.sum() == len(found)
+            assert len(np.intersect1d(found[:counts[0]], found[counts[0]:])) >= leaders.SHARED
+
+
+def test_sets_that_only_share_tokens_meet_in_no_bucket(spark, monkeypatch):
+    pick, rows_of = random.Random(9), {}
+
+    def counted(frame, name):
+        out = written(frame, name)
+        rows_of[name] = rows_of.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(leaders, "written", counted)
+    rows = [(i, i, [f"v{k}" for k in pick.sample(range(400), 60)]) for i in range(400)]
+    rows.append((400, 400, rows[7][2][:-1]))
+    got = deduped(spark, rows)
+    assert got[400] == (False, 7, False) and sum(kept for kept, _, _ in got.values()) == 400
+    # Every token is in some 60 sets; before, all of them were buckets of pairs.
+    assert rows_of["buckets"] < 100 and rows_of["pairs"] < 400
