@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from turnloom.llm import dart_minhash, dual_tree, mixing, source_audit, tree_forest, url_filter
+from turnloom.llm import dart_minhash, dual_tree, mixing, source_audit, token_files, tree_forest, url_filter
 
 TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -196,3 +197,24 @@ def test_columns_of_any_name_pass_through(spark):
     assert [(r.doc_id, r._raw, r["a.b"]) for r in dart_minhash.one_of_each(frame).collect()] == [(1, "v", "v")]
     mixed = mixing.mixed_documents(frame)
     assert mixed.columns == frame.columns and {r._mix_words for r in mixed.collect()} == {"v"}
+
+
+def test_words_are_encoded_once_and_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder, pick = Tokenizer.from_file(path), token_files.WordEncoder(path, 2), random.Random(4)
+    bits = ["word", "It's", "THE", "É", "œuvre", "Σας", "İx", "ẖ", "H̱", "x²", "ʰ", "ß", "µ", "ª", "don't", "'", "***", "%%%", ".", ",", ".,", "!", "?.", " ", " ", "\n",
+            "\t", "\x0b", " ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "3", "中文", "é", "́", "-", "_", "a.b", "çà,", "Œ."]
+    texts = ["".join(pick.choice(bits) + pick.choice(["", "", " ", ". ", ", "]) for _ in range(pick.randint(0, 25))) for _ in range(3000)]
+    texts += ["".join(pick.choice(bits[:3] + bits[14:25] + ["é", "à. ", "à? "]) for _ in range(12)) for _ in range(1500)]
+    for at in range(0, len(texts), 500):
+        wanted = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts[at:at + 500]]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in encoder(texts[at:at + 500])] == wanted
+    # A word that comes again in a later batch, or with other stops or in capitals, is not encoded again.
+    asked = []
+    encoder._each = lambda words: asked.extend(words) or [b"\0\0\0\0"] * len(words)
+    encoder._together = lambda words: asked.extend(words) or {w: b"\0\0\0\0" for w in words}
+    for text in ("qwertaz qwertbz", "Qwertaz. QWERTBZ*** qwertaz, x"):
+        encoder([text])
+    assert sorted(w for w in asked if w.lower().startswith("qwert")) == ["qwertaz", "qwertbz"]

@@ -29,6 +29,9 @@ MAGIC = b"TLPLANE1"
 BLOCK = 1 << 16
 PLANES = 4
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+# A run of these after a letter is a word of its own to the tokenizer; no contraction and no added token has them after its last letter.
+STOPS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+OTHER_STOP = re.compile(r"[.,](?<![a-z\u00df-\u00f6\u00f8-\u00ff][.,]) ").search  # after no letter
 PLAIN = re.compile(rf"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{{1,{CACHED_LENGTH}}}").fullmatch
 
 
@@ -43,8 +46,8 @@ class WordEncoder:
     """Encodes whole texts with a tokenizer whose white space only separates; repeated words are looked up.
 
     Exact for BPE tokenizers that drop white space and mark the end of words (as word_bpe_49k). A text is cut at
-    blanks and line feeds alone, as no rule looks across those. A full stop or comma after a last letter is a word of its own
-    to the tokenizer. New words of letters are encoded many at a time, and told apart by the marked ends.
+    blanks and line feeds alone, as no rule looks across those. Stops after a last letter are a word of their own to the
+    tokenizer. New words of letters are encoded many at a time, and told apart by the marked ends. Latin-1 texts are lower-cased first.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -57,7 +60,7 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.recent: set[str] = set()  # words that were new not long ago
+        self.recent: dict[str, bytes] = {}  # words met in one batch not long ago
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -81,41 +84,61 @@ class WordEncoder:
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not known."""
-        known, found = self.known, {}
-        stopped = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
-        bare = {w[:-1] for w in stopped} | (words.difference(stopped))
-        bare -= known.keys()
         # These letters stay letters of their own in all normal forms and in lower case.
-        plain = list(filter(PLAIN, bare))
-        found = self._together(plain)
-        rest = list(bare.difference(plain))
-        found.update(zip(rest, self._each(rest)))
-        ends = dict(zip(".,", self._each([".", ","])))
-        stops = [(found[b] if (b := w[:-1]) in found else known[b]) + ends[w[-1]] for w in stopped]
-        found.update(zip(stopped, stops))
-        for word in words.difference(found):
-            found[word] = known[word]
+        plain = set(filter(PLAIN, words))
+        known, recent, stopped, rest = self.known, self.recent, [], set()
+        for word in words.difference(plain):
+            bare = word.rstrip(STOPS)
+            if bare and bare[-1].isalpha() and bare != word:
+                stopped.append((word, bare, word[len(bare):]))
+            else:
+                rest.add(word)
+        parts = {part for _, *two in stopped for part in two if part not in known and part not in recent}
+        bares = set(filter(PLAIN, parts))
+        found = self._together(list(plain | bares))
+        rest |= parts.difference(bares)
+        found.update(zip(rest, self._each(list(rest))))
+        extra = parts.difference(words)
+        for word, *two in stopped:
+            found[word] = b"".join([found[x] if x in found else known[x] if x in known else recent[x] for x in two])
+        for part in extra:
+            del found[part]
         return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
         if len(self.recent) > CACHED_WORDS:
-            self.recent = set()
-        known, cut = self.known, [(text or "").replace("\n", " ").split(" ") for text in texts]
+            self.recent = {}
+        known, recent, cut = self.known, self.recent, [_eased(text or "").split(" ") for text in texts]
         missing = set().union(*cut).difference(known)
-        new = self._new(missing) if missing else {}
+        # Only words that come again are worth their place.
+        again = missing & recent.keys()
+        for word in again:
+            known[word] = recent.pop(word)
+        new = self._new(missing - again) if missing else {}
         known.update(new)
         out = [b"".join(map(known.__getitem__, words)) + self.end for words in cut]
-        # Only words that come again are worth their place.
-        for word in new.keys() - self.recent:
-            del known[word]
-        for word in [w for w in new.keys() & self.recent if len(w) > CACHED_LENGTH]:
+        for word in new:
             del known[word]
-        self.recent |= new.keys()
+        recent.update((word, ids) for word, ids in new.items() if len(word) <= CACHED_LENGTH)
         return out
 
 
+def _eased(text: str) -> str:
+    """A text of the same ids with blanks for line feeds and, if no normal form and no added token is at stake, in lower case and with
+    blanks before stops at the end of words."""
+    text = text.replace("\n", " ")
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    text = text.lower()
+    return text if OTHER_STOP(text) else text.replace(". ", " . ").replace(", ", " , ")
+
+
 @lru_cache(maxsize=1)
 def shared_encoder(path: str, end_id: int) -> WordEncoder:
     """One encoder for all tasks of a Python worker, with the words it has met."""
