@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,20 @@ def test_every_sentence_of_a_benchmark_item_is_a_marker(spark, tmp_path):
     assert got == [(1, "a later sentence of some eight words here", 3), (1, "short one", 1), (2, "alone", 2)]
 
 
+def test_only_runs_on_the_place_of_an_opening_become_rows(spark):
+    from turnloom.operators import phrases
+
+    pick = np.random.default_rng(2)
+    bodies = [[f"w{k}" for k in pick.integers(0, 30, n)] for n in [0, 1, 3, 7, 400, *pick.integers(0, 60, 700)]]
+    wanted = ["w1", "w2 w3", "w4 w5 w6", "w1 w1", "w7 w8 w9 w10 w11", " ".join(bodies[4][:5]), "other"]
+    texts = spark.createDataFrame(list(enumerate(bodies)) + [(-1, None)], "id long, words array<string>").coalesce(2)
+    rows = [tuple(r) for r in phrases.openings_met(texts, "id", "words", spark.createDataFrame([(w,) for w in wanted], "opening string"), 5).collect()]
+    every = {(i, " ".join(b[at:at + n])) for i, b in enumerate(bodies) for n in range(1, 6) for at in range(len(b) - n + 1)}
+    assert len(set(rows)) == len(rows) and {r for r in rows if r[1] in wanted} == {r for r in every if r[1] in wanted}
+    # Before, every run of one to five words was a row.
+    assert set(rows) <= every and len(rows) < len(every) / 50
+
+
 SAID = [
     "İ wıll never usе it, the tasK stays.", "The taſk must not move.", "We uſe the projecт and it İS deployed.",
     "By the way the project is staging.", "CHIT-CHAT is what we need.", "Deadline: every day at 10:30 it runs.", "Der Krämer sagt, the provider IS café.",
