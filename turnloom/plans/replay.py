@@ -79,7 +79,7 @@ def replay_failure_records(spark, sf):
         *QM, "failure_type", "stage", F.array_join("contributors", "|").alias("contributors"), "observed_failure",
         "evidence_lost", "agreement",
         F.expr("array_join(transform(blame, b -> concat(b.fact_id, ':', b.label)), '|')").alias("blame"),
-        F.expr(failures.expected_memory_sql()).alias("expected_memory"))
+        "expected_memory")
 
 
 @query
