@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from turnloom.operators import chunks as C
 from turnloom.operators import modes as M
 from turnloom.operators import packing as P
-from turnloom.operators.prefix import running_index, running_total
+from turnloom.operators.prefix import running_index, running_total, running_totals
 
 
 def test_running_totals_across_spans(spark):
@@ -104,3 +104,32 @@ def test_places_are_counted_whatever_the_turn_numbers(spark):
         rows = spark.createDataFrame([("s", n, "user", f"turn {i:02d}") for i, n in enumerate(numbers)], "s string, pos long, role string, content string")
         got = P.history_rows(rows, ["s"]).where("back <= 8").collect()
         assert sorted(r.back for r in got) == list(range(1, 9)) and min(r.content for r in got) == "turn 22"
+
+
+def test_a_message_is_kept_once_however_many_modes_show_it(spark):
+    turns = spark.createDataFrame([(c, i, "user", "x" * 40) for c in (1, 2) for i in range(5)],
+                                  "conv_id long, pos int, role string, content string")
+    tasks = spark.createDataFrame([(1, "Why?"), (2, "How?")], "conv_id long, question string")
+    got = P.build_contexts(tasks, turns, None, None, modes=[M.Mode("a", "A", max_recent=None, recent_budget=None), M.Mode("b", "B", max_recent=2), M.Mode("c", "C", max_recent=0)])
+    assert got.history.count() == 10
+    shown = {(r.conv_id, r.mode): r.p for r in got.window.groupBy("conv_id", "mode").agg(F.sort_array(F.collect_list("pos")).alias("p")).collect()}
+    assert shown == {(c, m): p for c in (1, 2) for m, p in (("a", [0, 1, 2, 3, 4]), ("b", [3, 4]))}
+
+
+def test_top_k_goes_on_in_rounds_where_the_front_is_all_alike(spark):
+    """More near copies than are walked in one row hide what comes after them; a row without a key is no group."""
+    alike = [f"w{j}" for j in range(40)]
+    rows = [("q", f"chunk-{i}", i, "user", f"text {i}", [*alike, f"y{i}"], 0.9) for i in range(2 * C.FRONT)]
+    rows += [("q", f"chunk-{100 + i}", 100 + i, "user", f"text {i}", [f"z{i}"], 0.1) for i in range(3)]
+    rows += [("r", "chunk-0", 0, "user", "text", ["a"], 0.5), (None, "chunk-1", 1, "user", "text", ["a"], 0.5), (None, "chunk-2", 2, "user", "text", ["b"], 0.4)]
+    frame = spark.createDataFrame(rows, "q string, chunk_id string, turn int, role string, text string, tokens array<string>, lexical double")
+    got = C.greedy_top_k(frame, ["q"], 6, 0.88).orderBy("q", "rank").collect()
+    assert [(r.q, r["rank"], r.chunk_id) for r in got] == [
+        (None, 1, "chunk-1"), ("q", 1, "chunk-0"), ("q", 2, "chunk-100"), ("q", 3, "chunk-101"), ("q", 4, "chunk-102"), ("r", 1, "chunk-0")]
+
+
+def test_running_totals_read_their_rows_in_one_shuffle(spark):
+    rows = spark.createDataFrame([("k", i, "t", i) for i in range(9)], "k string, i int, t string, v int")
+    plan = running_totals(rows, ["k"], "i", {"s": F.col("v"), "n": F.lit(1)}, ["t"])._jdf.queryExecution().executedPlan().toString()
+    # One exchange of the rows, three of the span totals: summed, put in order, joined.
+    assert plan.count("Exchange hashpartitioning") == 4 and "Broadcast" not in plan
