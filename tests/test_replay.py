@@ -96,3 +96,9 @@ def test_losses_keep_the_order_of_packing(space):
     assert lost.where("seq.stage IS NULL OR reason IS NULL").isEmpty()
     assert lost.where(F.col("seq.stage") == 0).count() == space.replay_decided.where("drop_reason IS NOT NULL").count()
     assert lost.where(F.col("seq.stage") > 0).count() == space.replay_contexts.drops().count()
+
+
+def test_candidates_are_shuffled_before_they_become_a_row_for_each_mode(space):
+    plan = space._decide(space.recalled, space.reported_conflicts, space.reported_stale)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(conv_id" in plan and "Broadcast" not in plan
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "mode#" in line]
