@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions import guard as G
+from turnloom.sources import parts
 
 TASK_SCHEMA = (
     "task_id string, category string, question string, expected_answer string, "
@@ -67,7 +68,20 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def file_digests(files: DataFrame) -> DataFrame:
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of files of ``read_files``. Large ones go by parts, except those that Spark unpacks by their name."""
+    digest = lambda rows: rows.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    if not parts.resumable():
+        return digest(files)
+    spark = files.sparkSession
+    large = files.where(F.col("length") > parts.PART_BYTES).select("path", "length", F.col("_metadata.file_path").alias("uri")).collect()
+    rows = digest(files.where(F.col("length") <= parts.PART_BYTES))
+    packed = [f.path for f in large if parts.PACKED.search(f.path)]
+    if packed:
+        rows = rows.unionByName(digest(spark.read.format("binaryFile").load([parts.literal(p) for p in packed])))
+    plain = [f for f in large if not parts.PACKED.search(f.path)]
+    if plain:
+        rows = rows.unionByName(parts.digests_by_parts(spark, plain))
+    return rows
 
 
 def read_transcript(turns: DataFrame, conversation: int) -> DataFrame:
