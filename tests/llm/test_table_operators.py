@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,51 @@ def test_top_k_with_few_and_with_no_rows(spark):
         assert search(few.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_top_k_in_many_shares_and_tasks_equals_brute_force(spark, monkeypatch):
+    for name, value in {"INDEX_ROWS": 32, "QUERY_ROWS": 8, "TASK_QUERIES": 16}.items():
+        monkeypatch.setattr(pivot_topk, name, value)
+    rng = np.random.default_rng(11)
+    x = rng.integers(-3, 4, (600, 4))  # many ties and equal vectors
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in pivot_topk.top_k(frame, F.col("vec_id") % 10 == 0, k=7, factor=1, pivots=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 600, 10))
+    for q, found in got.items():
+        best = sorted(((-int(x[i] @ x[q]), i) for i in range(600) if i != q))[:7]
+        assert found == [(place + 1, i, -score) for place, (score, i) in enumerate(best)]
+
+
+def test_top_k_shuffles_no_vector_for_a_query(spark):
+    """What is shuffled is bounded by the table; with the index sent to every block of queries it was many times as much."""
+    def shuffled() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    rng = np.random.default_rng(12)
+    table = pa.table({"vec_id": np.arange(24_000), "embedding": list(rng.normal(size=(24_000, 32)))})
+    frame = spark.createDataFrame(table)
+    before = shuffled()
+    assert pivot_topk.top_k(frame, F.col("vec_id") % 20 == 0).count() == 24_000
+    assert shuffled() - before < 2 * 24_000 * 32 * 8
+
+
+def test_best_of_blocks_with_ties_and_given_bounds():
+    rng = np.random.default_rng(13)
+    ids, own = rng.permutation(500), np.arange(0, 500, 25)
+    for kind in (np.int64, np.float32):
+        scores = rng.integers(-4, 5, (len(own), 500)).astype(kind)
+        wanted = [[tuple(x) for x in sorted((-int(s), i) for s, i in zip(row, ids) if i != q)[:6]] for q, row in zip(own, scores)]
+        bounds = (np.array([-w[-1][0] for w in wanted]), np.array([w[-1][1] for w in wanted]))
+        for given in ((None, None), bounds):
+            best = pivot_topk.Best(own, 6, *given)
+            for at in range(0, 500, 100):
+                best.offer(np.arange(len(own)), scores[:, at:at + 100], ids[at:at + 100])
+            rows, values, found, ranks = best.settle()
+            assert [(r, int(-v), i) for r, v, i in zip(rows, values, found)] == [(q, *x) for q, w in enumerate(wanted) for x in w]
+            assert ranks.tolist() == [*range(6)] * len(own)
+
+
 def test_products_beyond_doubles_stay_exact():
     q, x = np.array([[1 << 30, 1]]), np.array([[1 << 30, 1], [1 << 30, 2]])
     assert pivot_topk.products(q, x).tolist() == [[(1 << 60) + 1, (1 << 60) + 2]]
